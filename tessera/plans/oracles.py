@@ -1,0 +1,51 @@
+"""DuckDB SQL equivalents of the registered queries (same column names and types).
+
+Conventions shared with the Spark side: doubles rounded to 6 decimals; the
+fold/split hash is md5(salt || ':' || key text) -> first 8 hex digits as an
+unsigned integer; log1p(x) is written ln(1 + x).
+"""
+from __future__ import annotations
+
+
+def h32(salt: str, key_sql: str) -> str:
+    """SQL for the package's 32-bit key hash."""
+    return f"(('0x' || substr(md5('{salt}:' || {key_sql}), 1, 8))::BIGINT)"
+
+
+LI_KEY_TXT = "CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)"
+
+LI_PARTS = """
+  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, p.p_brand, p.p_type,
+         ln(1 + l.l_extendedprice) AS y
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey
+"""
+
+
+def _oof_block(col: str, smoothing: float = 5.0) -> str:
+    return f"""
+  s_{col} AS (SELECT coalesce({col}, 'Missing') AS cat, fold, sum(y) AS s, count(y) AS n
+              FROM base GROUP BY 1, 2),
+  t_{col} AS (SELECT cat, sum(s) AS s_all, sum(n) AS n_all FROM s_{col} GROUP BY cat),
+  o_{col} AS (SELECT s.cat, s.fold,
+                     CASE WHEN t.n_all - s.n = 0 THEN g.gm
+                          ELSE (t.s_all - s.s + {smoothing} * g.gm) / (t.n_all - s.n + {smoothing}) END AS te
+              FROM s_{col} s JOIN t_{col} t USING (cat) CROSS JOIN gm g)"""
+
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["target_encode_oof"] = f"""
+WITH base AS (
+  SELECT *, CAST({h32('fold', LI_KEY_TXT)} % 5 AS INTEGER) AS fold FROM ({LI_PARTS})
+),
+gm AS (SELECT avg(y) AS gm FROM base),
+{_oof_block('p_brand')},
+{_oof_block('p_type')}
+SELECT b.l_orderkey, b.l_linenumber, b.l_partkey, b.p_brand, b.p_type, b.fold,
+       round(b.y, 6) AS y,
+       round(coalesce(ob.te, g.gm), 6) AS p_brand_te,
+       round(coalesce(ot.te, g.gm), 6) AS p_type_te
+FROM base b CROSS JOIN gm g
+LEFT JOIN o_p_brand ob ON coalesce(b.p_brand, 'Missing') = ob.cat AND b.fold = ob.fold
+LEFT JOIN o_p_type ot ON coalesce(b.p_type, 'Missing') = ot.cat AND b.fold = ot.fold
+"""
