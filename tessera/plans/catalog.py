@@ -1,40 +1,7 @@
-"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
-
-Every query reads the driver's tables (through ``bindings``) and runs the
-package's operators on all of their rows.
-"""
+"""All registered queries (importing the query modules fills the registry)."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..operators.encoders import KFoldTargetEncoder
-from ..operators.split import hash_fold
-from . import bindings as B
-from .tables import r6
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def register(name: str):
-    def deco(fn):
-        QUERIES[name] = fn
-        return fn
-    return deco
-
-
-ENC_COLS = ["p_brand", "p_type"]
-LI_KEY = ["l_orderkey", "l_linenumber"]
-
+from . import q_clean, q_encode, q_explain, q_model, q_profile, q_submit  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-@register("target_encode_oof")
-def q_target_encode_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold smoothed target mean (s=5, 5 hash folds) of brand and type on
-    log1p(extended price), one row per line item."""
-    df = hash_fold(B.lineitem_parts(spark, sf_dir), LI_KEY, 5, "fold", output="fold")
-    enc = KFoldTargetEncoder(ENC_COLS, "y", smoothing=5.0, folds=5, fold_col="fold")
-    out, _ = enc.fit_transform_oof(df)
-    return out.select(*LI_KEY, "l_partkey", "p_brand", "p_type", "fold", r6("y").alias("y"),
-                      r6("p_brand_te").alias("p_brand_te"), r6("p_type_te").alias("p_type_te"))
+__all__ = ["QUERIES", "ORACLES"]

@@ -32,20 +32,22 @@ def _oof_block(col: str, smoothing: float = 5.0) -> str:
               FROM s_{col} s JOIN t_{col} t USING (cat) CROSS JOIN gm g)"""
 
 
-ORACLES: dict[str, str] = {}
-
-ORACLES["target_encode_oof"] = f"""
+OOF_WITH = f"""
 WITH base AS (
   SELECT *, CAST({h32('fold', LI_KEY_TXT)} % 5 AS INTEGER) AS fold FROM ({LI_PARTS})
 ),
 gm AS (SELECT avg(y) AS gm FROM base),
 {_oof_block('p_brand')},
-{_oof_block('p_type')}
-SELECT b.l_orderkey, b.l_linenumber, b.l_partkey, b.p_brand, b.p_type, b.fold,
-       round(b.y, 6) AS y,
-       round(coalesce(ob.te, g.gm), 6) AS p_brand_te,
-       round(coalesce(ot.te, g.gm), 6) AS p_type_te
+{_oof_block('p_type')}"""
+
+OOF_FROM = """
 FROM base b CROSS JOIN gm g
 LEFT JOIN o_p_brand ob ON coalesce(b.p_brand, 'Missing') = ob.cat AND b.fold = ob.fold
 LEFT JOIN o_p_type ot ON coalesce(b.p_type, 'Missing') = ot.cat AND b.fold = ot.fold
 """
+
+OOF_SQL = OOF_WITH + """
+SELECT b.l_orderkey, b.l_linenumber, b.l_partkey, b.p_brand, b.p_type, b.fold,
+       round(b.y, 6) AS y,
+       round(coalesce(ob.te, g.gm), 6) AS p_brand_te,
+       round(coalesce(ot.te, g.gm), 6) AS p_type_te""" + OOF_FROM
