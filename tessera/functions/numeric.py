@@ -20,15 +20,22 @@ def _c(col) -> Column:
 
 
 def finite(col) -> Column:
-    """NaN and +/-inf -> NULL (the package never stores non-finite doubles)."""
+    """NaN and +/-inf -> NULL (the package never stores non-finite doubles).
+
+    abs(x) < inf is false for NaN (NaN sorts above every number) and for +/-inf.
+    """
     c = _c(col).cast("double")
-    return F.when(~(F.isnan(c) | (F.abs(c) == float("inf"))), c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def parse_number(col) -> Column:
-    """Text -> double, NULL when the text is not a plain number or overflows."""
-    s = strip_ws(_c(col).cast("string"))
-    return finite(F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double")))
+    """Text -> double, NULL when the text is not a plain number or overflows.
+
+    The whole anchored match is extracted ('' when the text is not a number) and
+    cast; the input is referenced once, so the expression stays small.
+    """
+    s = F.regexp_extract(_c(col).cast("string"), NUMBER_PATTERN, 0)
+    return finite(F.trim(s).try_cast("double"))
 
 
 def to_number(col, dtype: T.DataType) -> Column:
@@ -89,14 +96,18 @@ def format_g(col, digits: int = 4) -> Column:
     ax = F.abs(x)
     exp10 = F.floor(F.log10(ax))
     # exponent after rounding to `digits` significant digits (9.9996 -> 10.00)
-    rounded = F.round(ax / F.pow(F.lit(10.0), exp10), digits - 1)
+    # half-to-even like Python's formatting
+    rounded = F.bround(ax / F.pow(F.lit(10.0), exp10), digits - 1)
     exp_adj = F.when(rounded >= 10, exp10 + 1).otherwise(exp10)
     sci = (exp_adj < -4) | (exp_adj >= digits)
+    # plain notation only for exponents -4 .. digits-1, so decimals is 0 .. digits+3
     decimals = F.greatest(F.lit(0), F.lit(digits - 1) - exp_adj).cast("int")
-    plain = F.format_number(x, decimals)  # has thousands separators
+    plain = F.lit(None).cast("string")
+    for d in range(digits + 4, -1, -1):
+        plain = F.when(decimals == d, F.format_number(x, d)).otherwise(plain)  # with separators
     plain = F.regexp_replace(plain, r"(\.\d*?)0+$", "$1")
     plain = F.regexp_replace(plain, r"\.$", "")
-    mant = x / F.pow(F.lit(10.0), exp_adj)
+    mant = F.bround(x / F.pow(F.lit(10.0), exp_adj), digits - 1)
     mant_txt = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits - 1}f", mant),
                                                  r"(\.\d*?)0+$", "$1"), r"\.$", "")
     exp_txt = F.concat(F.when(exp_adj < 0, F.lit("e-")).otherwise(F.lit("e+")),

@@ -304,7 +304,7 @@ def lineitem_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LC_SQL = """SELECT l_orderkey, l_linenumber, l_discount - 0.05 AS g, l_tax AS d, l_extendedprice / 100 AS w,
        l_quantity AS n, CAST(l_linenumber - 2 AS DOUBLE) AS conc, CAST(l_partkey AS DOUBLE) AS spin,
-       CAST(l_suppkey AS DOUBLE) AS at, l_discount * 10 AS ah, l_tax * 100 AS ot, l_quantity / 100 AS cr,
+       CAST(l_suppkey AS DOUBLE) AS a_t, l_discount * 10 AS a_h, l_tax * 100 AS o_t, l_quantity / 100 AS cr,
        l_discount AS ar, l_extendedprice / 1000 AS diff, l_tax AS visc,
        CASE l_returnflag WHEN 'R' THEN 'Spin-coating' WHEN 'A' THEN 'drop casting' END AS process
 FROM lineitem"""
@@ -334,14 +334,14 @@ _FEAT_SQL = {
     "radius_ratio": "cr / (ar + 1e-9)",
     "diffusion_viscosity_ratio": "diff / (visc + 1e-9)",
     "ion_mobility_proxy": "diff / (visc + 1e-9)",
-    "annealing_thermal_budget": "at * ah",
-    "log1p_annealing_time_h": f"ln(1 + {_clip('ah')})",
-    "Operating_temp_K": "ot + 273.15",
-    "Annealing_temp_K": "at + 273.15",
-    "inv_Operating_temp_K": "1 / (ot + 273.15 + 1e-9)",
-    "inv_Annealing_temp_K": "1 / (at + 273.15 + 1e-9)",
+    "annealing_thermal_budget": "a_t * a_h",
+    "log1p_annealing_time_h": f"ln(1 + {_clip('a_h')})",
+    "Operating_temp_K": "o_t + 273.15",
+    "Annealing_temp_K": "a_t + 273.15",
+    "inv_Operating_temp_K": "1 / (o_t + 273.15 + 1e-9)",
+    "inv_Annealing_temp_K": "1 / (a_t + 273.15 + 1e-9)",
     "spin_x_concentration": "spin * conc",
-    "annealing_temp_x_time": "at * ah",
+    "annealing_temp_x_time": "a_t * a_h",
     "gate_voltage_x_pulse_number": "abs(g) * n",
     "pulse_width_x_pulse_number": "w * n",
     "voltage_diff_x_pulse_number": "abs(g - d) * n",

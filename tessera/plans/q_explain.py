@@ -18,13 +18,13 @@ TOP_N = 2
 def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey",
-                    (F.col("o_totalprice") / 1e5).alias("x"),
+                    (F.col("o_totalprice") / 1e4).alias("x"),
                     (F.col("o_custkey") / 1000.0).alias("y"),
                     (F.dayofmonth("o_orderdate") / 10.0).alias("z"),
                     F.when(F.col("o_orderstatus") != "P", F.month("o_orderdate") / 12.0).alias("w"))
 
 
-_FIELDS_SQL = """SELECT o_orderkey, o_totalprice / 1e5::DOUBLE AS x, o_custkey / 1000::DOUBLE AS y,
+_FIELDS_SQL = """SELECT o_orderkey, o_totalprice / 1e4::DOUBLE AS x, o_custkey / 1000::DOUBLE AS y,
        dayofmonth(o_orderdate) / 10::DOUBLE AS z,
        CASE WHEN o_orderstatus <> 'P' THEN month(o_orderdate) / 12::DOUBLE END AS w FROM orders"""
 

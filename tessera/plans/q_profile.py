@@ -54,11 +54,11 @@ _ORD_TEST = f"{h32('split', 'CAST(o_orderkey AS VARCHAR)')} / 4294967296.0 < 0.2
 
 @register("range_check", f"""
 WITH tr AS (SELECT * FROM orders WHERE NOT ({_ORD_TEST})),
-prof AS ({" UNION ALL ".join(f"SELECT '{c}' AS column, min(CAST({c} AS DOUBLE)) AS p_min, max(CAST({c} AS DOUBLE)) AS p_max FROM tr" for c in _RANGE_COLS)}),
-lv AS ({" UNION ALL ".join(f"SELECT o_orderkey, '{c}' AS column, CAST({c} AS DOUBLE) AS value FROM orders" for c in _RANGE_COLS)})
-SELECT lv.o_orderkey, lv.column, lv.value, prof.p_min, prof.p_max,
-       format('{{}} is outside the training range ({{:g}} ~ {{:g}}).', lv.column, prof.p_min, prof.p_max) AS warning
-FROM lv JOIN prof USING (column)
+prof AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, min(CAST({c} AS DOUBLE)) AS p_min, max(CAST({c} AS DOUBLE)) AS p_max FROM tr" for c in _RANGE_COLS)}),
+lv AS ({" UNION ALL ".join(f"SELECT o_orderkey, '{c}' AS col, CAST({c} AS DOUBLE) AS value FROM orders" for c in _RANGE_COLS)})
+SELECT lv.o_orderkey, lv.col AS "column", lv.value, prof.p_min, prof.p_max,
+       format('{{}} is outside the training range ({{:g}} ~ {{:g}}).', lv.col, prof.p_min, prof.p_max) AS warning
+FROM lv JOIN prof USING (col)
 WHERE lv.value IS NOT NULL AND (lv.value < prof.p_min OR lv.value > prof.p_max)
 """)
 def q_range_check(spark: SparkSession, sf_dir: str) -> DataFrame:

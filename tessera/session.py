@@ -26,6 +26,8 @@ def build_session(master: str | None = None, app: str = "tessera",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # only takes effect when this call starts the JVM (local runs, tests)
+        "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", "8g"),
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -35,9 +37,21 @@ def build_session(master: str | None = None, app: str = "tessera",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    tune_for_wide_plans(spark)
     return spark
 
 
+def tune_for_wide_plans(spark: SparkSession) -> None:
+    """Switch off constraint propagation for this session.
+
+    The cleaning and feature projections define dozens of aliased expressions;
+    inferring constraints for a filter placed above them grows combinatorially in
+    the optimizer (planning never finishes). Filters are still pushed down; only
+    the inference of extra filters from aliases is skipped.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only when unset.
 

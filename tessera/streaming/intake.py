@@ -21,10 +21,14 @@ from ..operators.submissions import validate_submissions
 
 def start_intake(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                  prepare: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
-                 available_now: bool = True):
-    """Start the stream; ``prepare`` maps landed rows to the validator's columns
-    (``tau_raw``, ``confirmed`` and optional ``status``)."""
-    stream = spark.readStream.schema(schema).format(fmt).load(source)
+                 available_now: bool = True, file_filter: str | None = None):
+    """Start the stream on the landing folder ``source`` (optionally only files whose
+    name matches ``file_filter``); ``prepare`` maps landed rows to the validator's
+    columns (``tau_raw``, ``confirmed`` and optional ``status``)."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if file_filter:
+        reader = reader.option("pathGlobFilter", file_filter)
+    stream = reader.load(source)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch)
@@ -38,8 +42,10 @@ def start_intake(spark: SparkSession, source: str, schema: T.StructType, sink: s
 
 
 def run_intake(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
-               prepare: Callable[[DataFrame], DataFrame], fmt: str = "parquet") -> DataFrame:
+               prepare: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
+               file_filter: str | None = None) -> DataFrame:
     """Process everything available now, then read the result table back."""
-    q = start_intake(spark, source, schema, sink, checkpoint, prepare, fmt, available_now=True)
+    q = start_intake(spark, source, schema, sink, checkpoint, prepare, fmt, available_now=True,
+                     file_filter=file_filter)
     q.awaitTermination()
     return spark.read.parquet(sink)
