@@ -77,6 +77,7 @@ def test_explain_plan_has_one_exchange(spark):
 def test_validate_submissions(spark):
     rows = [("12000", True, "pending"), ("abc", True, "pending"), ("-3", True, "pending"),
             ("5", False, "pending"), ("5", True, "approved"), ("5", True, "weird")]
-    df = spark.createDataFrame(rows, "tau_raw string, confirmed boolean, status string")
-    got = [r["reject_reason"] for r in validate_submissions(df, status="status").collect()]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                               "i int, tau_raw string, confirmed boolean, status string")
+    got = [r["reject_reason"] for r in validate_submissions(df, status="status").orderBy("i").collect()]
     assert got == [None, "invalid_number", "tau_not_positive", "not_confirmed", "not_pending", "bad_status"]
