@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 # The tokens that count as "no value" after strip + case-fold.
 MISSING_TOKENS = ["", "nan", "none", "null", "na", "n/a", "missing", "not specified", "-"]
 
-# Unicode-aware whitespace (Python's str.strip / \s are Unicode-aware; Java's \s is not
-# unless UNICODE_CHARACTER_CLASS is on).
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# Whitespace as Python's str.strip() sees it: every code point whose isspace() is
+# true (derived by rule, 29 characters). Stripping uses Spark's non-regex btrim.
+WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+# runs of whitespace inside the text (Unicode-aware class)
 _RUN_WS = r"(?U)\s+"
 
 
@@ -21,8 +22,9 @@ def _c(col) -> Column:
 
 
 def strip_ws(col) -> Column:
-    """Remove leading and trailing Unicode whitespace (Spark ``trim`` only drops spaces)."""
-    return F.regexp_replace(_c(col).cast("string"), _EDGE_WS, "")
+    """Remove leading and trailing whitespace like Python's ``str.strip()``
+    (Spark's one-argument ``trim`` only drops spaces)."""
+    return F.btrim(_c(col).cast("string"), F.lit(WHITESPACE))
 
 
 def casefold(col) -> Column:

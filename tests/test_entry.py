@@ -1,7 +1,7 @@
 """Driver contract: entry runs, queries and oracles line up."""
 import __spark_entry__ as E
 
-MODEL_ONLY = {"quantile_normal", "sanitize", "train_score_forest", "explain_forest", "stream_submissions"}
+MODEL_ONLY = {"quantile_normal", "train_score_forest", "explain_forest", "stream_submissions"}
 
 
 def test_contract_keys():
