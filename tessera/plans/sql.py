@@ -59,21 +59,21 @@ SELECT b.l_orderkey, b.l_linenumber, b.l_partkey, b.p_brand, b.p_type, b.fold,
 EXPERIMENTS_SQL = """
 SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS Paper_ID, c_mktsegment AS Channel,
   split_part(o_orderpriority, '-', -1) AS Solvent,
-  CAST(round(o_totalprice / 10000.0, 2) AS VARCHAR) AS Concentration_mg_ml,
+  CAST(o_totalprice / 10000.0 AS VARCHAR) AS Concentration_mg_ml,
   CASE o_orderstatus WHEN 'O' THEN 'spin_coat' WHEN 'F' THEN 'Drop casting' ELSE 'N/A' END AS Process,
   CAST(o_custkey * 10 AS VARCHAR) AS Spin_RPM,
   CAST(dayofyear(o_orderdate) AS VARCHAR) AS Annealing_temp_C,
   CAST(month(o_orderdate) / 4.0 AS VARCHAR) AS Annealing_time_h,
   'ion_' || o_orderstatus AS Ion_type,
-  CAST(nullif(round(c_acctbal / 10000.0, 3), 0.0) AS VARCHAR) AS wt,
+  CAST(nullif(c_acctbal / 10000.0, 0.0) AS VARCHAR) AS wt,
   CASE WHEN o_orderkey % 7 = 0 THEN CAST(round(o_totalprice / 1e6, 3) AS VARCHAR) ELSE lower(c_mktsegment) END AS polymer,
   CAST(c_nationkey / 10.0 AS VARCHAR) AS Ion_diffusion,
   CAST(dayofmonth(o_orderdate) * 2.5 AS VARCHAR) AS Ion_viscosity,
   CAST(c_nationkey / 100.0 + 0.1 AS VARCHAR) AS Anion_radius,
   CAST(month(o_orderdate) / 40.0 + 0.05 AS VARCHAR) AS Cation_radius,
   '[' || substr(c_mktsegment, 1, 3) || ']+' AS Cation, o_orderstatus || '-' AS Anion,
-  CAST(round(c_acctbal / 2000.0, 2) AS VARCHAR) AS Gate_voltage_V,
-  CAST(round(o_totalprice / 1e6 - 0.2, 3) AS VARCHAR) AS Drain_voltage_V,
+  CAST(c_acctbal / 2000.0 AS VARCHAR) AS Gate_voltage_V,
+  CAST(o_totalprice / 1e6 - 0.2 AS VARCHAR) AS Drain_voltage_V,
   CAST(o_orderkey % 500 + 1 AS VARCHAR) AS Gate_pulse_width_ms,
   CAST(o_custkey % 30 + 1 AS VARCHAR) AS Pulse_number,
   split_part(c_mktsegment, 'I', 1) AS Electrode_type,
@@ -81,6 +81,6 @@ SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS Paper_ID, c_mktsegment AS Chann
   CAST(o_totalprice * 10 AS VARCHAR) AS On_off_ratio,
   CAST(nullif(o_orderkey % 9, 0) / 3.0 AS VARCHAR) AS Vth_window_V,
   '25' AS Operating_temp_C,
-  CAST(round(o_totalprice / 100.0 - 50.0, 2) AS VARCHAR) AS Tau_ms
+  CAST(o_totalprice / 100.0 - 50.0 AS VARCHAR) AS Tau_ms
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 """
