@@ -81,3 +81,32 @@ def test_validate_submissions(spark):
                                "i int, tau_raw string, confirmed boolean, status string")
     got = [r["reject_reason"] for r in validate_submissions(df, status="status").orderBy("i").collect()]
     assert got == [None, "invalid_number", "tau_not_positive", "not_confirmed", "not_pending", "bad_status"]
+
+
+def test_driver_captions(spark):
+    from tessera.operators.explain import driver_captions
+    df = spark.createDataFrame([(1, 3.0, 2.0, 1.0)], "k int, x double, y double, z double")
+    scorer = linear_scorer({"x": 2.0, "y": 1.0, "z": -3.0}, {"x": 1.0, "y": 0.0, "z": 0.0})
+    out = driver_captions(explain(df, "k", ["x", "y", "z"], scorer, top_n=3), {"x": "Field X"})
+    r = {row["feature"]: row for row in out.collect()}
+    assert r["x"]["label"] == "Field X" and r["x"]["value_text"] == "3" and r["x"]["moves"] == "higher"
+    assert r["z"]["moves"] == "lower"
+    assert r["x"]["caption"] == ("Compared with hiding this field: prediction moves higher by "
+                                 "|Δ log1p(Tau)| = 4.000. Share among all measured input effects: 44.4%.")
+
+
+def test_append_submissions(spark):
+    import tempfile
+    from tessera.operators.submissions import append_submissions, assemble_payload
+    rows = [(1, "12000", True, "x", 3.0), (2, "7", True, None, None)]
+    df = spark.createDataFrame(rows, "i int, tau_raw string, confirmed boolean, a string, b double")
+    v = validate_submissions(df).filter("accepted")
+    pay = assemble_payload(v, ["a", "b"], id_col="i")
+    path = tempfile.mkdtemp(prefix="subs-", dir="/tmp") + "/table"
+    ok, msg = append_submissions(pay, path)
+    assert ok, msg
+    ok, _ = append_submissions(pay, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 4 and back.filter("status = 'pending'").count() == 4
+    r = back.filter("id = '2'").first()
+    assert r["input_completeness_filled"] == 0 and r["input_data"] == '{"a":null,"b":null}'
