@@ -26,7 +26,7 @@ def spread(df: DataFrame) -> DataFrame:
     (one small shuffle); a real table of many files is returned untouched.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.inputFiles().length < slots:  # file count on the JVM side, no list in Python
+    if len(df._jdf.inputFiles()) < slots:  # counted on the JVM side, no Python list
         return df.repartition(slots)
     return df
 
