@@ -18,15 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table stored as fewer files than task slots over all slots.
+    """Spread a table whose scan has fewer splits than task slots over all slots.
 
-    A scan gets at most one task per Parquet row group; the test tables are
-    single files with one row group, which would leave every narrow stage on one
-    core. Below one file per slot the rows are dealt round-robin over the slots
-    (one small shuffle); a real table of many files is returned untouched.
+    A scan gets at most one task per file split (and per Parquet row group); the
+    test tables are single small files, which would leave every narrow stage on
+    one core. Below one split per slot the rows are dealt round-robin over the
+    slots (one small shuffle). A large table has many more splits than slots
+    (one per ``maxPartitionBytes``), so it is read as is.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df._jdf.inputFiles()) < slots:  # counted on the JVM side, no Python list
+    if df._jdf.rdd().getNumPartitions() < slots:  # planned splits, nothing is read
         return df.repartition(slots)
     return df
 
