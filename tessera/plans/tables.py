@@ -26,10 +26,12 @@ def spread(df: DataFrame) -> DataFrame:
     slots (one small shuffle). A large table has many more splits than slots
     (one per ``maxPartitionBytes``), so it is read as is.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() < slots:  # planned splits, nothing is read
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df._jdf.rdd().getNumPartitions()  # planned splits, nothing is read
+    except Exception:  # noqa: BLE001 - e.g. a Connect session: read as is
+        return df
+    return df.repartition(slots) if splits < slots else df
 
 
 def r6(c) -> Column:
