@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "tessera",
@@ -57,10 +58,12 @@ def tune_for_wide_plans(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only when unset.
+    """Return the session's checkpoint folder, creating a local one only in local mode.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; that setting is
-    always honoured. The local fallback exists for tests and single-machine runs.
+    A cluster names a folder that all executors share in ``spark.checkpoint.dir``; that
+    setting is always honoured. Only ``local`` masters (tests, one machine) fall back to
+    a temporary folder; any other master without the setting is an error, because other
+    executors could not read part files from one machine's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -70,6 +73,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A fresh path below the shared checkpoint folder, for a table one job writes and
+    later jobs read."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the
+    lineage, survives lost executors, and keeps generated row ids fixed."""
+    spark = df.sparkSession
+    path = shared_path(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
