@@ -5,15 +5,18 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
+import regex
+
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 
-#: Unicode White_Space, the class the byte-level tokenizer splits on (fixed values).
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_UNSAFE = re.compile(f" (?:[{_SPACE}]|$)")
-_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_START = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
-_ENTRIES, _LONGEST, _BLOCK = 400_000, 64, 1 << 22
+#: a place to cut very long texts: a single space or line break between words
+_START = re.compile(r"(?<=\S) (?=\S)")
+#: letters and the signs after them are two pieces for the tokenizer (an apostrophe may
+#: start a piece of its own kind)
+_SIGNED = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']+)")
+_ENTRIES, _LONGEST, _BLOCK, _JOINED = 400_000, 64, 1 << 22, 256
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -25,10 +28,11 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
 class WordEncoder:
     """Encodes whole texts with the ``tokenizers`` library, each distinct word once.
 
-    A byte-level BPE never merges across the start of a space that a word follows, so a
-    text can be cut there and the cuts encoded alone: the ids equal those of the whole
-    text. Two generations of at most ``_ENTRIES`` words each hold ready bytes. A text
-    that holds an added token's string is encoded whole.
+    A byte-level BPE never merges across the start of a space that a word follows, nor
+    across a single line break, so a text can be cut there and the cuts encoded alone: the
+    ids equal those of the whole text. A new word that ends in signs is made of its letters
+    and its signs. New words go to the library many in one text, a line break between them. Two generations of at most ``_ENTRIES`` words each hold ready
+    bytes. A text that holds an added token's string is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -38,11 +42,26 @@ class WordEncoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.line_break = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space (but a leading space)."""
+        if len(self.line_break) != 4:
+            return self._ids(words)
+        groups = ["\n".join(words[i:i + _JOINED]) for i in range(0, len(words), _JOINED)]
+        mark, out = np.frombuffer(self.line_break, "<u4")[0], []
+        for e in self.tok.encode_batch_fast(groups, add_special_tokens=False):
+            ids = np.asarray(e.ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for end in np.flatnonzero(ids == mark).tolist():
+                out.append(raw[4 * start:4 * end])
+                start = end + 1
+            out.append(raw[4 * start:])
+        return out
+
     def encode(self, text: str) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit integers, without an end id."""
         if any(a in text for a in self.added):
@@ -58,11 +77,32 @@ class WordEncoder:
         return b"".join(out)
 
     def _cut(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            cuts = _CHUNK.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            cuts = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+        if not text:
+            return b""
+        words = text.split()
+        gaps = len(words) - 1
+        if text.count(" ") + text.count("\n") != gaps or len(text) - len("".join(words)) != gaps:
+            return self._ids([text])[0]  # other white space, or runs of it: as a whole
+        # keys: a word after a space is itself, after a line break "\n" + word, the first "\r" + word
+        return self._cached(("\r" + text).replace("\n", " \n").split(" "))
+
+    def _marked(self, keys: list[str]) -> list[bytes]:
+        """Ids of new keys. Letters are looked up by their own key, signs by "\t" + signs."""
+        pairs = [_SIGNED.fullmatch(k, 1 if k[0] in "\n\r" else 0) for k in keys]
+        pairs = [(k[0] + m[1] if k[0] in "\n\r" else m[1], "\t" + m[2]) if m else (k,) for k, m in zip(keys, pairs)]
+        new, old = self.new, self.old
+        fresh = []
+        for k in {part for pair in pairs for part in pair}.difference(new):
+            got = old.get(k)
+            if got is None:
+                fresh.append(k)
+            else:
+                new[k] = got
+        ids = self._words([k[1:] if k[0] in "\n\r\t" else " " + k for k in fresh])
+        new.update((k, self.line_break + i if k[0] == "\n" else i) for k, i in zip(fresh, ids))
+        return [b"".join([new[part] for part in pair]) for pair in pairs]
+
+    def _cached(self, cuts: list[str]) -> bytes:
         missing = set(cuts).difference(self.new)
         long = []
         if missing:
@@ -77,7 +117,7 @@ class WordEncoder:
                     fresh.append(w)
                 else:
                     new[w] = got
-            new.update(zip(fresh, self._ids(fresh)))
+            new.update(zip(fresh, self._marked(fresh)))
             long = [w for w in fresh if len(w) > _LONGEST]
         ids = b"".join(map(self.new.__getitem__, cuts))
         for w in long:
