@@ -53,7 +53,7 @@ def num(df: DataFrame, name: str) -> Column:
     """Numeric read that tolerates an absent column (typed NULL)."""
     if name not in df.columns:
         return F.lit(None).cast("double")
-    return to_number(F.col(name), df.schema[name].dataType)
+    return to_number(F.col("`" + name.replace("`", "``") + "`"), df.schema[name].dataType)
 
 
 def clip0(col) -> Column:

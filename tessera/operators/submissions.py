@@ -8,6 +8,7 @@ once approved, flattened back into training rows.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +16,10 @@ from pyspark.sql import types as T
 from ..functions.numeric import finite, parse_user_number
 from ..functions.text import blank_to_null
 from ..roles import MODEL_FAMILY
+from ..session import written
 from .metrics import regression_metrics
 from .profile import completeness
+from .schema import quoted
 
 STATUSES = ["pending", "approved", "rejected"]
 
@@ -70,13 +73,22 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("accepted")), df.filter(~F.col("accepted"))
 
 
+def json_safe(col: Column, dtype: T.DataType) -> Column:
+    """``col`` with non-finite numbers as NULL at every depth (arrays, maps, structs)."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return finite(col)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: json_safe(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(col, lambda _, x: json_safe(x, dtype.valueType))
+    if isinstance(dtype, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[json_safe(col[f.name], f.dataType).alias(f.name) for f in dtype.fields]))
+    return col
+
+
 def inputs_json(df: DataFrame, input_cols: list[str]) -> Column:
     """JSON object of the raw inputs, nulls written out, non-finite numbers as null."""
-    parts = []
-    for c in input_cols:
-        dt = df.schema[c].dataType
-        v = finite(F.col(c)) if isinstance(dt, (T.DoubleType, T.FloatType)) else F.col(c)
-        parts.append(v.alias(c))
+    parts = [json_safe(F.col(quoted(c)), df.schema[c].dataType).alias(c) for c in input_cols]
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
 
 
@@ -116,25 +128,48 @@ def assemble_payload(df: DataFrame, input_cols: list[str], id_col: str | None =
     return filled.select(*[v.alias(k) for k, v in cols.items()])
 
 
+def broken_rules(df: DataFrame) -> DataFrame:
+    """Rows that the submission table's constraints refuse: a NULL in a required column,
+    a label that is not > 0, or a status other than pending (the only one to insert)."""
+    missing = F.lit(False)
+    for f in SUBMISSION_SCHEMA.fields:
+        if not f.nullable:
+            missing = missing | F.col(f.name).isNull()
+    return df.where(missing | ~F.coalesce(F.col("tau_ms") > 0, F.lit(False)) | ~F.coalesce(F.col("status") == "pending", F.lit(False)))
+
+
 def append_submissions(df: DataFrame, path: str) -> tuple[bool, str]:
-    """Append to the status-partitioned submission table; (ok, message) like a form."""
+    """Append to the status-partitioned submission table; (ok, message) like a form.
+
+    The batch is refused whole if a row breaks the table's constraints. ``id`` is the
+    primary key: ids that the table holds, and repeats within the batch, are not written
+    again, so a repeated append changes nothing. Batches are meant to come one at a time.
+    """
+    batch = written(df.select(*[F.col(n) for n in SUBMISSION_SCHEMA.fieldNames()]).dropDuplicates(["id"]), "submissions")
+    bad = broken_rules(batch).count()
+    if bad:
+        return False, f"Submission failed: {bad} row(s) break the table's constraints."
     try:
-        df.write.mode("append").partitionBy("status").parquet(path)
-        return True, "Submission stored as pending."
-    except Exception as exc:  # noqa: BLE001 - reported to the caller, not raised
-        return False, f"Submission failed: {exc}"
+        known = df.sparkSession.read.schema(SUBMISSION_SCHEMA).parquet(path).select("id")
+        batch = written(batch.join(known, "id", "left_anti"), "submissions")
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            return False, f"Submission failed: {exc}"
+    batch.write.mode("append").partitionBy("status").parquet(path)
+    return True, "Submission stored as pending."
 
 
 def flatten_submissions(df: DataFrame, input_schema: T.StructType, label: str = "Tau_ms",
-                        training: DataFrame | None = None) -> DataFrame:
-    """Approved submissions -> training rows (JSON inputs expanded, label attached),
-    optionally unioned by name with an existing training table."""
+                        training: DataFrame | None = None, key: str = "row_key") -> DataFrame:
+    """Approved submissions -> training rows: ``key`` (``submission-<id>``), the JSON inputs
+    expanded, the label. Optionally unioned by name with an existing training table whose
+    own ``key`` is read as text; every row then has a key for the folds and the split."""
     ok = df.filter(F.col("status") == "approved")
-    parsed = ok.select(F.col("id"), F.from_json("input_data", input_schema).alias("__in"),
+    parsed = ok.select(F.concat(F.lit("submission-"), F.col("id")).alias(key), F.from_json("input_data", input_schema).alias("__in"),
                        F.col("tau_ms").alias(label))
-    flat = parsed.select("id", "__in.*", label)
+    flat = parsed.select(key, "__in.*", label)
     if training is not None:
-        return training.unionByName(flat, allowMissingColumns=True)
+        return training.withColumn(key, F.col(key).cast("string")).unionByName(flat, allowMissingColumns=True)
     return flat
 
 

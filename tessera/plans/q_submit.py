@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from ..functions.numeric import parse_number
 from ..operators.submissions import (assemble_payload, flatten_submissions, submission_errors,
                                      validate_submissions)
+from ..roles import MODEL_FAMILY
 from .registry import register
 from .tables import r6, table
 
@@ -63,7 +64,7 @@ def q_submission_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("event_id", "status", "tau_ms", "reject_reason", "accepted")
 
 
-_INPUTS = ["k", "user_id", "event_type"]
+_INPUTS = ["k", "user_id", "event_type", "seen"]
 
 
 @register("submission_payload", f"""
@@ -72,11 +73,15 @@ p AS (SELECT *, {_parsed('tau_raw')} AS tau_ms,
              CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM s)
 SELECT CAST(event_id AS VARCHAR) AS id, 'pending' AS status, 'user_submission' AS source,
        nullif(regexp_replace(notes, '^\\s+|\\s+$', '', 'g'), '') AS notes, tau_ms,
-       round(k * 5, 6) AS pred_tau_ms,
+       round(k * 5, 6) AS pred_tau_ms, round(ln(1 + k * 5), 6) AS pred_log1p_tau_ms,
+       '{{"k":' || coalesce(CAST(k AS VARCHAR), 'null') || ',"user_id":' || coalesce(CAST(user_id AS VARCHAR), 'null')
+         || ',"event_type":' || coalesce('"' || event_type || '"', 'null')
+         || ',"seen":[' || coalesce(CAST(k AS VARCHAR), 'null') || ',null]}}' AS input_data,
+       '{MODEL_FAMILY}' AS model_type,
        CAST((CASE WHEN k IS NULL THEN 0 ELSE 1 END) + (CASE WHEN user_id IS NULL THEN 0 ELSE 1 END)
-          + (CASE WHEN event_type IS NULL OR regexp_replace(event_type, '^\\s+|\\s+$', '', 'g') = '' THEN 0 ELSE 1 END)
+          + (CASE WHEN event_type IS NULL OR regexp_replace(event_type, '^\\s+|\\s+$', '', 'g') = '' THEN 0 ELSE 1 END) + 1
           AS INTEGER) AS input_completeness_filled,
-       CAST(3 AS INTEGER) AS input_completeness_total
+       CAST(4 AS INTEGER) AS input_completeness_total
 FROM p
 WHERE tau_ms IS NOT NULL AND tau_ms > 0 AND confirmed
 """)
@@ -85,9 +90,12 @@ def q_submission_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored prediction, inputs JSON, completeness)."""
     s = event_submissions(spark, sf_dir).withColumn("k", parse_number(F.get_json_object("props", "$.k")))
     v = validate_submissions(s.drop("status"))
-    ok = v.filter(F.col("accepted")).withColumn("pred_tau_ms", F.col("k") * 5)
+    ok = v.filter(F.col("accepted")).withColumns({
+        "pred_tau_ms": F.col("k") * 5, "pred_log1p_tau_ms": F.log1p(F.col("k") * 5),
+        "seen": F.array(F.col("k"), F.lit(float("nan")))})  # a nested value that JSON cannot hold
     pay = assemble_payload(ok, _INPUTS, id_col="event_id")
     return pay.select("id", "status", "source", "notes", "tau_ms", r6("pred_tau_ms").alias("pred_tau_ms"),
+                      r6("pred_log1p_tau_ms").alias("pred_log1p_tau_ms"), "input_data", "model_type",
                       "input_completeness_filled", "input_completeness_total")
 
 
@@ -96,10 +104,10 @@ _IN_SCHEMA = T.StructType([T.StructField("k", T.DoubleType())])
 
 @register("submission_flatten", f"""
 WITH s AS ({_SUB_SQL})
-SELECT CAST(NULL AS VARCHAR) AS id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, value AS Tau_ms
+SELECT CAST(event_id AS VARCHAR) AS row_key, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, value AS Tau_ms
 FROM s WHERE event_type = 'view'
 UNION ALL
-SELECT CAST(event_id AS VARCHAR) AS id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+SELECT 'submission-' || CAST(event_id AS VARCHAR) AS row_key, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
        value * 100 AS Tau_ms
 FROM s WHERE status = 'approved'
 """)
@@ -109,8 +117,9 @@ def q_submission_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs = s.select(F.col("event_id").cast("string").alias("id"), "status",
                     F.col("props").alias("input_data"), (F.col("value") * 100).alias("tau_ms"))
     training = s.filter(F.col("event_type") == "view").select(
+        F.col("event_id").alias("row_key"),
         parse_number(F.get_json_object("props", "$.k")).alias("k"), F.col("value").alias("Tau_ms"))
-    return flatten_submissions(subs, _IN_SCHEMA, "Tau_ms", training).select("id", "k", "Tau_ms")
+    return flatten_submissions(subs, _IN_SCHEMA, "Tau_ms", training).select("row_key", "k", "Tau_ms")
 
 
 @register("submission_errors", f"""

@@ -4,34 +4,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, tune_for_wide_plans
+from ..session import ensure_checkpoint_dir
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one test table; see ``spread`` for inputs stored as very few files."""
+    """Read one test table as it is stored."""
     ensure_checkpoint_dir(spark)
-    tune_for_wide_plans(spark)
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table whose scan has fewer splits than task slots over all slots.
-
-    A scan gets at most one task per file split (and per Parquet row group); the
-    test tables are single small files, which would leave every narrow stage on
-    one core. Below one split per slot the rows are dealt round-robin over the
-    slots (one small shuffle). A large table has many more splits than slots
-    (one per ``maxPartitionBytes``), so it is read as is.
-    """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = df._jdf.rdd().getNumPartitions()  # planned splits, nothing is read
-    except Exception:  # noqa: BLE001 - e.g. a Connect session: read as is
-        return df
-    return df.repartition(slots) if splits < slots else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def r6(c) -> Column:

@@ -1,40 +1,40 @@
-"""Profile and metrics sinks: one JSON document per model, long tables for joining."""
+"""Profile and metrics sinks: one JSON document per model, and the long tables it names."""
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..operators.model import Bundle, bundle_summary
 
 
-def profile_document(b: Bundle, max_options: int = 10_000) -> dict:
-    """Summary + numeric ranges + option lists as one JSON-safe dict.
+def profile_document(b: Bundle) -> dict:
+    """Summary + numeric ranges as one JSON-safe dict (one entry per column).
 
-    The numeric part has one entry per column. Option lists are gathered only for
-    columns whose vocabulary passed a size check (``max_options``); larger
-    vocabularies stay in the long options table.
+    Vocabularies have no bound, so the document names the options table instead of
+    holding the lists; every category column is listed, whatever its vocabulary.
     """
     doc = bundle_summary(b)
     doc["numeric_stats"] = {r["column"]: {k: r[k] for k in ("min", "max", "median", "mean")}
                             for r in b.profile_numeric.collect()}
-    sizes = {r["column"]: r["n"] for r in
-             b.profile_options.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = [c for c, n in sizes.items() if n <= max_options]
-    opts = (b.profile_options.filter(F.col("column").isin(small)).groupBy("column")
-            .agg(F.array_sort(F.collect_list("value")).alias("values")).collect())
-    doc["categorical_options"] = {r["column"]: list(r["values"]) for r in opts}
-    doc["input_categorical_cols"] = [c for c in b.roles.raw_inputs if c in doc["categorical_options"]]
+    doc["input_categorical_cols"] = [c for c in b.roles.raw_inputs if c in b.categorical]
+    doc["categorical_options"] = {c: {"table": "options", "column": c} for c in doc["input_categorical_cols"]}
     return doc
 
 
+def sorted_options(options: DataFrame) -> DataFrame:
+    """All (column, value) rows in published order over the whole table: range
+    partitions, sorted inside."""
+    return options.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
+
+
 def write_profile(b: Bundle, path: str) -> None:
     """Write the profile as one JSON document and the long tables as Parquet."""
     spark = b.te.maps.sparkSession
     text = json.dumps(profile_document(b), default=float, ensure_ascii=False)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/document")
     b.profile_numeric.write.mode("overwrite").parquet(f"{path}/numeric")
-    b.profile_options.write.mode("overwrite").parquet(f"{path}/options")
+    sorted_options(b.profile_options).write.mode("overwrite").parquet(f"{path}/options")
 
 
 def metrics_json(b: Bundle) -> str:

@@ -1,7 +1,7 @@
 """Submission intake as a Structured Streaming query.
 
-Landed submission files are read as a stream with a declared schema, validated
-(stateless: the same batch functions), split into accepted and quarantined
+Landed submission files are read as a stream with a declared schema, scored, counted for
+completeness and validated (stateless: the same batch functions), split into accepted and quarantined
 rows, and appended to a status-partitioned table by ``foreachBatch``. Each
 micro-batch writes into a folder named by its batch id with overwrite mode, so a
 batch re-run after a failure replaces its own output instead of duplicating it;
@@ -16,15 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.profile import completeness
 from ..operators.submissions import validate_submissions
 
 
 def start_intake(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                  prepare: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
-                 available_now: bool = True, file_filter: str | None = None):
+                 available_now: bool = True, file_filter: str | None = None,
+                 scorer: Callable[[DataFrame], DataFrame] | None = None, input_cols: list[str] | None = None,
+                 id_col: str | None = None):
     """Start the stream on the landing folder ``source`` (optionally only files whose
     name matches ``file_filter``); ``prepare`` maps landed rows to the validator's
-    columns (``tau_raw``, ``confirmed`` and optional ``status``)."""
+    columns (``tau_raw``, ``confirmed`` and optional ``status``) and the inputs.
+
+    ``scorer`` adds the stored prediction (any DataFrame -> DataFrame), ``input_cols`` the
+    number of filled inputs. With ``id_col`` a row whose id an earlier batch or this one
+    already holds is left out.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     if file_filter:
         reader = reader.option("pathGlobFilter", file_filter)
@@ -32,6 +40,15 @@ def start_intake(spark: SparkSession, source: str, schema: T.StructType, sink: s
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch)
+        if id_col:
+            rows = rows.dropDuplicates([id_col])
+            if batch_id:
+                before = spark.read.parquet(sink).where(F.col("batch") < batch_id).select(F.col(id_col).alias("__known"))
+                rows = rows.join(before, rows[id_col] == before["__known"], "left_anti")
+        if input_cols:
+            rows = completeness(rows, input_cols, "input_completeness_filled", "input_completeness_total")
+        if scorer:
+            rows = scorer(rows)
         v = validate_submissions(rows, status="status" if "status" in rows.columns else None)
         out = v.withColumn("intake", F.when(F.col("accepted"), "accepted").otherwise("quarantine"))
         out.write.mode("overwrite").partitionBy("intake").parquet(f"{sink}/batch={batch_id}")
@@ -43,9 +60,9 @@ def start_intake(spark: SparkSession, source: str, schema: T.StructType, sink: s
 
 def run_intake(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                prepare: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
-               file_filter: str | None = None) -> DataFrame:
+               file_filter: str | None = None, **options) -> DataFrame:
     """Process everything available now, then read the result table back."""
     q = start_intake(spark, source, schema, sink, checkpoint, prepare, fmt, available_now=True,
-                     file_filter=file_filter)
+                     file_filter=file_filter, **options)
     q.awaitTermination()
     return spark.read.parquet(sink)

@@ -105,8 +105,37 @@ def test_append_submissions(spark):
     path = tempfile.mkdtemp(prefix="subs-", dir="/tmp") + "/table"
     ok, msg = append_submissions(pay, path)
     assert ok, msg
-    ok, _ = append_submissions(pay, path)
+    ok, _ = append_submissions(pay.union(pay), path)  # the same ids again: nothing changes
     back = spark.read.parquet(path)
-    assert back.count() == 4 and back.filter("status = 'pending'").count() == 4
+    assert ok and back.count() == 2 and back.filter("status = 'pending'").count() == 2
+    for rule in ({"status": F.lit("approved")}, {"tau_ms": F.lit(-1.0)}, {"tau_ms": F.lit(None).cast("double")}, {"input_data": F.lit(None).cast("string")}):
+        ok, msg = append_submissions(pay.withColumn("id", F.concat(F.lit("x"), "id")).withColumns(rule), path)
+        assert not ok and "constraints" in msg
+    assert spark.read.parquet(path).count() == 2
     r = back.filter("id = '2'").first()
     assert r["input_completeness_filled"] == 0 and r["input_data"] == '{"a":null,"b":null}'
+
+
+def test_explain_rows_that_share_a_key(spark):
+    df = spark.createDataFrame([(1, 3.0, "N/A"), (1, 1.0, "b"), (1, 3.0, "N/A")], "k int, x double, t string")
+    out = explain(df, "k", ["x", "t"], linear_scorer({"x": 2.0}, {"x": 0.0}), top_n=2).collect()
+    assert sorted(r["current_log"] for r in out) == [2.0, 2.0, 6.0, 6.0, 6.0, 6.0]
+    assert sorted(str(r["current_value"]) for r in out if r["feature"] == "t") == ["None", "None", "b"]
+
+
+def test_range_check_skips_text_that_is_no_number(spark):
+    prof = spark.createDataFrame([("v", 1.0, 5.0, 2.0, 2.0)], "column string, min double, max double, median double, mean double")
+    df = spark.createDataFrame([(1, "12 ms"), (2, "9"), (3, "3"), (4, None)], "k int, v string")
+    assert [r["k"] for r in range_check(df, "k", ["v"], prof).collect()] == [2]
+
+
+def test_nested_numbers_are_json_safe(spark):
+    from tessera.operators.submissions import inputs_json
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, [1.0, nan], (nan, "x"), {"a": nan})], "a double, b array<double>, c struct<d:double,e:string>, f map<string,double>")
+    assert df.select(inputs_json(df, ["a", "b", "c", "f"]).alias("j")).first()["j"] == '{"a":null,"b":[1.0,null],"c":{"d":null,"e":"x"},"f":{"a":null}}'
+
+
+def test_tiny_values_keep_their_mean(spark):
+    df = spark.createDataFrame([(k * 1e-13,) for k in range(1, 6)], "x double")
+    assert math.isclose(profile_numeric(df, ["x"]).first()["mean"], 3e-13, rel_tol=1e-9)
