@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import ship_package, written
 
 
 def text_of(column: str) -> Column:
@@ -15,7 +15,9 @@ def text_of(column: str) -> Column:
 
 
 def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only (doc_id, text), whatever else the table holds or how its columns are named."""
+    """Only (doc_id, text), whatever else the table holds or how its columns are named.
+    Operators begin here, so this also gives the workers their code."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
 
 

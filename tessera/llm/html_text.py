@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import ship_package, written
 
 GAMMA, THRESHOLD, TRUST, MAX_DEPTH = 0.9, 0.3, 30, 24
 
@@ -219,6 +219,7 @@ def style_tree(parsed: DataFrame, trust: float = TRUST) -> DataFrame:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
               threshold: float = THRESHOLD, trust: float = TRUST) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars."""
+    ship_package(pages.sparkSession)
     p = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     parsed = written(parsed_pages(p), "pages")
     low = style_tree(parsed, trust).where(F.col("best") < threshold).groupBy(F.col("host").alias("low_host")).agg(F.collect_set("path").alias("low"))
