@@ -81,21 +81,44 @@ def q_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DEV_COLS = [c for c in CATEGORICAL if c != "Paper_ID"]
 
 
+# The stand-in's spellings: the dictionaries' own keys, picked by the order key, in upper
+# case, with a stray sign, or as they are; every eleventh order keeps a table value
+_SPELLINGS = {c: sorted(DEVICE_DICTIONARIES[c][0] or {}) for c in _DEV_COLS}
+
+
+def _spelled_sql(col: str, table_value: str) -> str:
+    keys = _SPELLINGS[col]
+    if not keys:
+        return table_value
+    key = "[" + ", ".join(f"'{k}'" for k in keys) + f"][CAST(o_orderkey % {len(keys)} AS INTEGER) + 1]"
+    return (f"CASE WHEN o_orderkey % 11 = 0 THEN {table_value} WHEN o_custkey % 3 = 0 THEN upper({key}) "
+            f"WHEN o_custkey % 3 = 1 THEN ' ' || {key} || '- ' ELSE {key} END")
+
+
+_TABLE_VALUES = {
+    "Channel": "c_mktsegment", "Solvent": "split_part(o_orderpriority, '-', -1)",
+    "Process": "CASE o_orderstatus WHEN 'O' THEN 'spin_coat' WHEN 'F' THEN 'Drop casting' ELSE 'N/A' END",
+    "Ion_type": "'ion_' || o_orderstatus",
+    "polymer": "CASE WHEN o_orderkey % 7 = 0 THEN CAST(round(o_totalprice / 1e6, 3) AS VARCHAR) ELSE lower(c_mktsegment) END",
+    "Cation": "'[' || substr(c_mktsegment, 1, 3) || ']+'", "Anion": "o_orderstatus || '-'",
+    "Electrode_type": "split_part(c_mktsegment, 'I', 1)"}
+
+
 @register("canonicalize_device", "SELECT o.o_orderkey, " + ", ".join(
-    f"{s_canonical(c, *DEVICE_DICTIONARIES[c])} AS {c}" for c in _DEV_COLS) + """
-FROM (""" + """SELECT o_orderkey, c_mktsegment AS Channel, split_part(o_orderpriority, '-', -1) AS Solvent,
-       CASE o_orderstatus WHEN 'O' THEN 'spin_coat' WHEN 'F' THEN 'Drop casting' ELSE 'N/A' END AS Process,
-       'ion_' || o_orderstatus AS Ion_type,
-       CASE WHEN o_orderkey % 7 = 0 THEN CAST(round(o_totalprice / 1e6, 3) AS VARCHAR) ELSE lower(c_mktsegment) END AS polymer,
-       '[' || substr(c_mktsegment, 1, 3) || ']+' AS Cation, o_orderstatus || '-' AS Anion,
-       split_part(c_mktsegment, 'I', 1) AS Electrode_type
+    f"{s_canonical(c, *DEVICE_DICTIONARIES[c])} AS {c}" for c in _DEV_COLS) + " FROM (SELECT o_orderkey, " + ", ".join(
+    f"{_spelled_sql(c, _TABLE_VALUES[c])} AS {c}" for c in _DEV_COLS) + """
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey) o
 """)
 def q_canonicalize_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight fixed spelling dictionaries with their fallbacks, on an
-    experiment-shaped projection of orders x customer."""
-    ex = B.experiments_from_orders(spark, sf_dir).select("o_orderkey", *_DEV_COLS)
-    return canonicalize_all(ex, _DEV_COLS)
+    experiment-shaped projection of orders x customer whose spellings meet every one."""
+    ex = B.experiments_from_orders(spark, sf_dir).select("o_orderkey", F.col("Paper_ID").cast("long").alias("o_custkey"), *_DEV_COLS)
+    for c in _DEV_COLS:
+        if keys := _SPELLINGS[c]:
+            key = F.get(F.array(*[F.lit(k) for k in keys]), (F.col("o_orderkey") % len(keys)).cast("int"))
+            ex = ex.withColumn(c, F.when(F.col("o_orderkey") % 11 == 0, F.col(c)).when(F.col("o_custkey") % 3 == 0, F.upper(key))
+                               .when(F.col("o_custkey") % 3 == 1, F.concat(F.lit(" "), key, F.lit("- "))).otherwise(key))
+    return canonicalize_all(ex.drop("o_custkey"), _DEV_COLS)
 
 
 # ---------------------------------------------------------------- missing tokens
