@@ -254,9 +254,11 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENG
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
     firsts = written(lines.groupBy("h", "g").agg(F.min(place).alias("place")), "firsts")
     roots = written(components(line_links(d, edits, min_length)), "roots")
-    firsts = firsts.join(roots, firsts["h"] == roots["node"], "left").select("h", "g", "place", "root")
-    linked = firsts.where("root is not null").groupBy("root").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("size"))
-    of = written(firsts.join(linked, "root", "left").select("h", "g", F.coalesce("best", "place").alias("best"), F.coalesce("size", F.lit(1)).alias("size")), "classes")
+    firsts = written(firsts.join(roots, firsts["h"] == roots["node"], "left").select("h", "g", "place", "root"), "rooted")
+    linked, alone = firsts.where("root is not null"), firsts.where("root is null")  # most lines are alone
+    best = written(linked.groupBy("root").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("size")), "best")
+    of = linked.join(best, "root").select("h", "g", "best", "size").union(alone.select("h", "g", "place", F.lit(1).cast("long")))
+    of = written(of, "classes")
     return lines.join(of, ["h", "g"]).select(
         "doc_id", "line", F.col("best.doc_id").alias("class_doc"), F.col("best.line").alias("class_line"), F.col("size").alias("class_size"),
         (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("line") == F.col("best.line"))).alias("kept"))
