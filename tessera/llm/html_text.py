@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, written
 
-GAMMA, THRESHOLD, TRUST, MAX_DEPTH = 0.9, 0.3, 30, 24
+GAMMA, THRESHOLD, TRUST, MAX_DEPTH = 0.9, 0.5, 30, 24
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
