@@ -28,14 +28,19 @@ def finite(col) -> Column:
     return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
-def parse_number(col) -> Column:
-    """Text -> double, NULL when the text is not a plain number or overflows.
+def scan_number(col) -> Column:
+    """Text -> double, NULL when the text is not a plain number; an overflow gives an
+    infinity. Names its input once: put it in a projection of its own below ``finite``.
 
-    The whole anchored match is extracted ('' when the text is not a number) and
-    cast; the input is referenced once, so the expression stays small.
+    The whole anchored match is extracted ('' when the text is not a number) and cast.
     """
     s = F.regexp_extract(_c(col).cast("string"), NUMBER_PATTERN, 0)
-    return finite(F.trim(s).try_cast("double"))
+    return F.trim(s).try_cast("double")
+
+
+def parse_number(col) -> Column:
+    """Text -> double, NULL when the text is not a plain number or overflows."""
+    return finite(scan_number(col))
 
 
 def to_number(col, dtype: T.DataType) -> Column:
