@@ -33,6 +33,17 @@ def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], (offsets - offsets[0]).astype(np.int64)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """Parts of an Arrow batch of about ``most`` bytes of text each (one row at least), so
+    that what a kernel builds beside the text stays small."""
+    _, ends = raw_text(batch.column(column))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def keep_rows(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is in the one-column ``ids``, one row per id.
 

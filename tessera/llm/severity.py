@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .frames import raw_text, slim
+from .frames import raw_text, slices, slim
 from .subword import held_out, labelled
 from .winnowing import Words, mixed
 
@@ -120,7 +120,7 @@ def grade_probabilities(column: pa.Array, weights: np.ndarray, theta: np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_train_rows: int = 8000) -> tuple[np.ndarray, np.ndarray]:
     """Features in the tasks, the regression on the driver; ``docs`` is (doc_id, text)."""
     def kernel(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 0)):
             row, bucket, count = sparse(b.column(0))
             ends = np.searchsorted(row, np.arange(1, len(b)))
             yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes() for x in np.split(v, ends)], pa.binary()) for v in (bucket, count)]
@@ -150,7 +150,7 @@ def severities(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_tr
     def kernel(batches):
         full = np.zeros(1 << BUCKET_BITS)
         full[used] = values
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             above = grade_probabilities(b.column(1), full, theta)
             p = -np.diff(np.hstack([np.ones((len(b), 1)), above, np.zeros((len(b), 1))]), axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(axis=1)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0])],

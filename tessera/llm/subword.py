@@ -178,7 +178,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, max_train_rows: in
     return first.groupBy("label_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_train_rows: int = 4000) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_train_rows: int = 3000) -> tuple[np.ndarray, float]:
     """Features in the tasks, gradient descent on the driver; ``docs`` is (doc_id, text)."""
     def kernel(batches):
         for b in batches:
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_train_r
     return train(rows, np.array(y, np.int64)) if rows else (np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
 
 
-def scored(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = 0.3, max_train_rows: int = 4000,
+def scored(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = 0.3, max_train_rows: int = 3000,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted."""
     d = slim(docs, id_col, text_col)

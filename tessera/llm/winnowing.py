@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .frames import keep_rows, raw_text, slim
+from .frames import keep_rows, raw_text, slices, slim
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -145,7 +145,7 @@ def _arrow(rows: list) -> pa.Array:
 def item_hits(items: DataFrame, k: int, window: int) -> DataFrame:
     """(item_id, n_words, hits) per item: its kept k-grams, or its one short window."""
     def kernel(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             w, out, counts = Words(*raw_text(b.column(1))), [], []
             hashes, places = w.kept(k, window)
             for i, (first, last) in enumerate(zip(w.first[:-1], w.first[1:])):
@@ -176,7 +176,7 @@ def _bitmap(hits: DataFrame) -> np.ndarray:
 def document_hits(docs: DataFrame, bitmap: np.ndarray, k: int, window: int, short: list[int]) -> DataFrame:
     """(uid, doc_id, n_words, hits) per document; hits: what the bitmap may know."""
     def kernel(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2)):
             w = Words(*raw_text(b.column(2)))
             found = [(*w.kept(k, window), k, window - k)]
             for m in short:
