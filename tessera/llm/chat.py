@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 OPEN, HEAD_END, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 #: control strings and how their first character is written inside a text
 CONTROL = {"<s>": "&lt;s>", "</s>": "&lt;/s>", "[INST]": "&lsqb;INST]", "[/INST]": "&lsqb;/INST]"}
@@ -56,19 +58,19 @@ def _turns(conversations: DataFrame, conv: str, turn: str, role: str, text: str)
 def placed_turns(conversations: DataFrame, budget: int = 2048, history: int = 256, conv: str = "conv_id",
                  turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Every turn with its number (pos), the tokens before it (before) and its span, and
-    the conversation's first system turn (system)."""
+    number and tokens of the conversation's first system turn (system)."""
     t = _turns(conversations, conv, turn, role, text)
     inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("in_pos", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text"))) \
         .withColumn("in_sum", F.sum("tokens").over(inside))
-    first = F.when(F.col("role") == "system", F.struct("turn", "in_pos", "role", "text", "tokens"))
+    first = F.when(F.col("role") == "system", F.struct("in_pos", "tokens"))
     blocks = t.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("sum"), F.max("tokens").alias("longest"), F.min(first).alias("first"))
     whole = Window.partitionBy("conv_id")
     earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
         F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"),
         F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("sum0"), F.max("longest").over(whole).alias("longest"), "first")
-    blocks = blocks.withColumn("system", F.first(F.when(F.col("first").isNotNull(), F.struct((F.col("n0") + F.col("first.in_pos")).alias("pos"), "first.role", "first.text", "first.tokens")), ignorenulls=True)
+    blocks = blocks.withColumn("system", F.first(F.when(F.col("first").isNotNull(), F.struct((F.col("n0") + F.col("first.in_pos")).alias("pos"), "first.tokens")), ignorenulls=True)
                                .over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("first")
     t = t.join(blocks, t["conv_id"].eqNullSafe(blocks["c"]) & (t["block"] == blocks["b"])).withColumn("before", F.col("sum0") + F.col("in_sum") - F.col("tokens"))
     stride = F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0)) - F.col("longest"))
@@ -79,9 +81,9 @@ def chat_windows(conversations: DataFrame, budget: int = 2048, history: int = 25
     """One row per window: conv_id, span, first_pos (number of its first own turn),
     n_context (turns before the own ones), n_turns, n_tokens, formatted, loss_mask (array
     of struct(start, length) in code points of ``formatted``)."""
-    t = placed_turns(conversations, budget, history, **cols)
+    t = written(placed_turns(conversations, budget, history, **cols), "turns")
     spans = t.groupBy(F.col("conv_id").alias("c"), F.col("span").alias("s")).agg(
-        F.max(F.col("before") + F.col("tokens")).alias("end"), F.min("pos").alias("first_pos"), F.first("system").alias("head"))
+        F.max(F.col("before") + F.col("tokens")).alias("end"), F.min("pos").alias("first_pos"), F.first("system.pos").alias("head"))
     spans = spans.withColumn("next", F.lead("s").over(Window.partitionBy("c").orderBy("s")))
     here = t.join(spans, t["conv_id"].eqNullSafe(spans["c"]) & (t["span"] == spans["s"]))
     part = lambda kind, pos, role, text, tokens: F.struct(F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), role.alias("role"), text.alias("text"), tokens.cast("long").alias("tokens"))
@@ -89,7 +91,9 @@ def chat_windows(conversations: DataFrame, budget: int = 2048, history: int = 25
     own = here.select("conv_id", "span", part(2, *turn).alias("part"))
     late = (F.col("end") - F.col("before") <= history) & F.col("next").isNotNull() & ~F.coalesce(F.col("pos") == F.col("system.pos"), F.lit(False))
     repeated = here.where(late).select("conv_id", F.col("next").alias("span"), part(1, *turn).alias("part"))
-    heads = spans.where("head.pos < first_pos").select(F.col("c").alias("conv_id"), F.col("s").alias("span"), part(0, *[F.col(f"head.{x}") for x in ("pos", "role", "text", "tokens")]).alias("part"))
+    system = t.where("pos = system.pos").select(F.col("conv_id").alias("owner"), *turn)
+    later = spans.where("head < first_pos").select("c", "s")
+    heads = later.join(system, later["c"].eqNullSafe(system["owner"])).select(F.col("c").alias("conv_id"), F.col("s").alias("span"), part(0, *turn).alias("part"))
     w = own.unionByName(repeated).unionByName(heads).groupBy("conv_id", "span").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     shown = lambda p: F.concat(F.lit(OPEN), p["role"], F.lit(HEAD_END), p["text"], F.lit(CLOSE))
     mask_type = "array<struct<start:int,length:int>>"
