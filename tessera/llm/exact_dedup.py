@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path, written
-from .frames import keep_rows, slim
+from .frames import first_of, keep_rows, numbered, slim, text_of
 
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -28,11 +28,12 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.translate(text, _SPACES, ""), 256))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, digest) per row, written once: the text is hashed one time."""
-    d = slim(docs, id_col, text_col)
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, n_chars, digest) and ``more`` per row, written once: the text is hashed one time."""
+    more = more or {}
+    d = slim(docs, id_col, text_col, *[c.alias(k) for k, c in more.items()])
     return written(d.select("doc_id", F.length("text").cast("long").alias("n_chars"),
-                            text_digest(F.col("text")).alias("digest")), "digests")
+                            text_digest(F.col("text")).alias("digest"), *more), "digests")
 
 
 class DigestIndex:
@@ -69,8 +70,8 @@ class DigestIndex:
 
 
 def exact_groups(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id",
-                 text_col: str = "text", buckets: int = 64) -> DataFrame:
-    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+                 text_col: str = "text", buckets: int = 64, more: dict[str, Column] | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, then ``more``.
 
     Without ``index`` a new one is laid down in the shared folder.
     """
@@ -78,14 +79,18 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None, id_col: str
     if index is None:
         path = shared_path(spark, "digest-index")
         index = DigestIndex(spark, path, "digest_index_" + path.rsplit("-", 1)[1], buckets)
-    rows = digests(docs, id_col, text_col)
+    rows = digests(docs, id_col, text_col, more)
     groups = written(index.append(rows), "groups")  # plain files: a hot digest's rows can be split
     return rows.join(groups, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+        F.lower(F.hex("digest")).alias("text_sha256"), *(more or {}))
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one per text, all columns."""
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("keep_id").alias("kept_id")).distinct()
-    return keep_rows(docs, id_col, kept)
+    """The rows of ``docs`` that stay: one per text (the longest original, then the smallest
+    doc_id, null last), all columns."""
+    rows, row = numbered(docs)
+    place = F.struct((-F.length(text_of(text_col))).alias("n"), first_of(rows, id_col, row).alias("first"))
+    groups = exact_groups(rows, id_col=id_col, text_col=text_col, more={"place": place}).where("kept")
+    kept = groups.groupBy("text_sha256").agg(F.min("place").alias("best"))
+    return keep_rows(rows, row, kept.select(F.col("best.first.row").alias("kept_row")))

@@ -14,11 +14,11 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
-def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only (doc_id, text), whatever else the table holds or how its columns are named.
+def slim(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Only (doc_id, text) and ``more``, whatever else the table holds or how its columns are named.
     Operators begin here, so this also gives the workers their code."""
     ship_package(docs.sparkSession)
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"), *more)
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,20 +44,24 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
         at = stop
 
 
-def keep_rows(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in the one-column ``ids``, one row per id.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number per row, and the name of that column: rows that
+    lack an id or repeat one can so be told apart."""
+    name, taken = "row_id", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", "zstd"), name
 
-    Null ids compare equal. Rows that repeat an id are one document written twice: the
-    one with the least (xxhash64 of its cells) stays. Only such rows are aggregated;
-    all others pass the semi join alone.
-    """
-    kept = docs.join(ids, docs[f"`{id_col}`"].eqNullSafe(ids[ids.columns[0]]), "left_semi")
+
+def first_of(rows: DataFrame, id_col: str, row_col: str) -> Column:
+    """Order in which rows stay: the smallest id, null last; of one id the least xxhash64 of
+    its cells, then the least number."""
     key = F.col(f"`{id_col}`")
-    twice = written(docs.groupBy(key.alias("twice_id")).count().where("count > 1").select("twice_id"), "twice")
-    if twice.isEmpty():
-        return kept
-    same = kept[f"`{id_col}`"].eqNullSafe(twice["twice_id"])
-    row = F.struct(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]).alias("h"),
-                   F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    first = kept.join(twice, same, "left_semi").groupBy(key.alias("twice_id")).agg(F.min_by(row["row"], row["h"]).alias("row"))
-    return kept.join(twice, same, "left_anti").unionByName(first.select("row.*"))
+    cells = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in rows.columns if c != row_col])
+    return F.struct(key.isNull().alias("none"), key.alias("id"), cells.alias("cells"), F.col(row_col).alias("row"))
+
+
+def keep_rows(rows: DataFrame, row_col: str, numbers: DataFrame) -> DataFrame:
+    """Rows of ``rows`` (from ``numbered``) whose number is in the one-column ``numbers``,
+    without it: each row by its own decision."""
+    return rows.join(numbers, rows[row_col] == numbers[numbers.columns[0]], "left_semi").drop(row_col)

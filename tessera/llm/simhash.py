@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .frames import keep_rows, slim
+from .frames import first_of, keep_rows, numbered, slim
 
 BITS, SEED = 64, 42
 _PARTS = (2, 3, 4)
@@ -263,7 +263,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """One document of each group stays: the smallest doc_id. All columns."""
-    groups = near_groups(docs, id_col, text_col, shingle, distance)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return keep_rows(docs, id_col, kept)
+    """One row of each group of linked texts stays: the smallest doc_id, null last. Every row
+    is a node, so texts that share a doc_id are not linked by it. All columns."""
+    rows, row = numbered(docs)
+    groups = near_groups(rows, row, text_col, shingle, distance).select(F.col("doc_id").alias("node_row"), "component_id")
+    places = rows.select(F.col(row).alias("place_row"), first_of(rows, id_col, row).alias("place"))
+    kept = groups.join(places, groups["node_row"] == places["place_row"]).groupBy("component_id").agg(F.min("place").alias("best"))
+    return keep_rows(rows, row, kept.select(F.col("best.row").alias("kept_row")))

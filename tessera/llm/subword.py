@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .frames import keep_rows, slim
+from .frames import slim
 
 BUCKET_BITS, DIM = 18, 16
 GRAMS = (3, 4, 5)
@@ -206,7 +206,15 @@ def scored(docs: DataFrame, labels: DataFrame, column: str = "quality", threshol
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that are predicted 1, all columns."""
-    good = scored(docs, labels, id_col=id_col, **options).where("predicted = 1").select(F.col("doc_id").alias("kept_id")).distinct()
-    return keep_rows(docs, id_col, good)
+def keep_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = 0.3, max_train_rows: int = 3000,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are predicted 1, all columns; each row has its own score, so
+    rows pass or go where they are read."""
+    weights, bias = fit(slim(docs, id_col, text_col), labels, column, max_train_rows)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def kernel(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(at).cast(pa.string()).to_pylist()]
+            yield b.filter(pa.array(score(texts, weights, bias) >= threshold))
+    return docs.mapInArrow(kernel, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .frames import keep_rows, raw_text, slices, slim
+from .frames import keep_rows, numbered, raw_text, slices, slim
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -241,7 +241,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, window: int
         F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, window: int = 10, id_col: str = "doc_id", **cols: str) -> DataFrame:
-    """The rows of ``docs`` without a benchmark window, all columns."""
-    clean = contamination(docs, benchmark, k, window, id_col=id_col, **cols).where("not contaminated").select(F.col("doc_id").alias("kept_id")).distinct()
-    return keep_rows(docs, id_col, clean)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, window: int = 10, **cols: str) -> DataFrame:
+    """The rows of ``docs`` without a benchmark window, all columns; each row by its own text."""
+    rows, row = numbered(docs)
+    clean = contamination(rows, benchmark, k, window, id_col=row, **cols).where("not contaminated")
+    return keep_rows(rows, row, clean.select(F.col("doc_id").alias("kept_row")))

@@ -87,12 +87,13 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts the
-    lineage, survives lost executors, and keeps generated row ids fixed."""
+    lineage, survives lost executors, and keeps generated row ids fixed. ``codec``: the
+    compression, if not the session's."""
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -415,6 +415,37 @@ def test_pipeline_stages_keep_their_contract(spark):
     assert P.run(spark, SMALL).agg(F.sum("length")).first()[0] == packed.agg(F.sum("length")).first()[0]
 
 
+def test_filtering_stages_decide_row_by_row(spark):
+    """Rows without a doc_id or with a repeated one keep their own decisions."""
+    from tessera.llm import exact_dedup, simhash
+    schema = "doc_id long, text string, row_id string"
+    train = [(i, t, "train") for i, t, _ in quality_rows()]
+    labels = spark.createDataFrame([(i, q) for i, _, q in quality_rows()], "doc_id long, quality int")
+    ids = [None, None, None, 9000, 9000, 9000, 9001, 9001]
+    mixed = [(d, train[2 + k if k % 2 else 3 * k][1], f"m{k}") for k, d in enumerate(ids)]
+    docs = shuffled(spark, train + mixed, schema)
+    alone = [(100_000 + k, t, n) for k, (_, t, n) in enumerate(mixed)]  # the same texts under ids of their own
+    scores = {r["doc_id"]: r["predicted"] for r in subword.scored(shuffled(spark, train + alone, schema), labels).collect()}
+    want = {n for i, _, n in alone if scores[i]}
+    assert 0 < len(want) < len(mixed)
+    kept = subword.keep_quality(docs, labels)
+    assert kept.columns == docs.columns and sorted(r["row_id"] for r in kept.where("row_id <> 'train'").collect()) == sorted(want)
+
+    passage = " ".join(f"bench{k}" for k in range(12))
+    far = [" ".join(random.Random(k).choices("abcdefghijklmnop", k=80)) for k in range(4)]
+    rows = [(None, far[0], "n0"), (None, far[1], "n1"), (None, passage, "n2"), (5, far[2], "a"), (5, far[3] + " " + passage, "b"), (5, far[3], "c"),
+            (6, far[2], "d"), (None, far[2], "n3")]
+    docs = shuffled(spark, rows, schema)
+    names = lambda df: sorted(r["row_id"] for r in df.collect())
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert names(winnowing.drop_contaminated(docs, bench)) == ["a", "c", "d", "n0", "n1", "n3"]
+    assert names(exact_dedup.drop_exact(docs)) == ["a", "b", "c", "n0", "n1", "n2"]
+    apart = shuffled(spark, [r for r in rows if r[2] != "b"], schema)
+    assert names(simhash.drop_near(apart)) == ["a", "c", "n0", "n1", "n2"]
+    odd = shuffled(spark, [(7, "x y", "p"), (7, "xy ", "q"), (7, "x y  ", "r")], schema)
+    assert names(exact_dedup.drop_exact(odd)) == ["r"]
+
+
 @pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
 def test_pipeline_stages_on_empty_documents(spark, stage):
     import corpus_pipeline as P
