@@ -11,10 +11,12 @@ styles. A branch whose nodes all stay under the threshold is removed from every
 the host. Few pages tell little: the importance of a node on m pages is drawn towards 1 by
 ``trust`` / (m + trust).
 
-Element roles are known without counting: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments (by element, ARIA role, class or id) have
-importance 0, and where a page has an article (or main) element with text, only that is
-text. A page that would lose all its text to the counted importance keeps it.
+Element roles are known without counting: menus, footers, asides, dialogs, scripts and
+styles (by element, ARIA role or hidden) have importance 0. So have branches whose class or
+id names a header, sidebar, notice, advert, form, share or comment box, headers and forms,
+unless the branch holds the page's article (or main) or ``NEARLY`` all of its text. Where
+articles (or main) hold at least half of the text that is left, only that is text. A page
+that would lose all its text to the counted importance keeps it.
 
 Text: character references decoded, white space in a block collapsed to one space,
 blocks joined by one newline in page order; a br is white space.
@@ -39,6 +41,8 @@ from pyspark.sql import functions as F
 from ..session import ship_package, written
 
 GAMMA, THRESHOLD, TRUST, MAX_DEPTH = 0.9, 0.5, 30, 24
+#: share of a page's text that a named branch must hold to be the page
+NEARLY = 0.8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -55,7 +59,7 @@ _BLOCK = set("address article aside blockquote body caption center dd details di
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
          "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
          "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
-_CHROME_TAGS = set("nav footer aside form script style noscript template iframe object svg canvas button select menu dialog head textarea search".split())
+_CHROME_TAGS = set("nav footer aside script style noscript template iframe object svg canvas button select menu dialog head textarea search".split())
 _CHROME_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _CHROME_WORDS = set("ad ads advert adverts advertisement advertisements advertising adsense adslot banner sponsor sponsored promo promotion sidebar side nav navbar "
                     "navigation menu menubar breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices popup modal overlay newsletter "
@@ -64,8 +68,9 @@ _CHROME_WORDS = set("ad ads advert adverts advertisement advertisements advertis
 _HEADER_WORDS = {"header", "topbar", "top"}
 
 
-def _element(tag: str, attrs: str, in_main: bool) -> tuple[str, bool]:
-    """Label of an element in the style tree, and whether it is known not to be text."""
+def _element(tag: str, attrs: str, in_main: bool) -> tuple[str, bool, bool]:
+    """Label of an element in the style tree, whether it is known not to be text, and
+    whether its name says so."""
     a = {}
     if attrs and not attrs.isspace():
         for k, v in _ATTR.findall(attrs):
@@ -74,28 +79,48 @@ def _element(tag: str, attrs: str, in_main: bool) -> tuple[str, bool]:
     words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
     label = tag + "".join(sorted({"." + re.sub(r"\d+", "", w).replace("/", "")[:40] for w in names.split()}))
     if tag in ("html", "body", "main"):
-        return label, False
+        return label, False, False
     chrome = tag in _CHROME_TAGS or a.get("role", "").lower() in _CHROME_ROLES or a.get("aria-hidden", "").lower() == "true" or "hidden" in a
-    chrome = chrome or bool(words & _CHROME_WORDS) or (not in_main and (tag == "header" or bool(words & _HEADER_WORDS)))
-    return label, chrome
+    named = tag == "form" or bool(words & _CHROME_WORDS) or (not in_main and (tag == "header" or bool(words & _HEADER_WORDS)))
+    return label, chrome, named
+
+
+def _judged(blocks: list[tuple], opened_in_main: list[bool]) -> list[tuple[str, str, bool, bool]]:
+    """Blocks (path, text, chrome, main) from (path, text, chrome, main, named branches): a
+    name does not count if its branch holds the page's article or nearly all its text."""
+    total = articles = plain = 0
+    size, article = [0] * len(opened_in_main), [0] * len(opened_in_main)
+    for _, text, chrome, main, names in blocks:
+        if chrome:
+            continue
+        n = len(text)
+        total += n
+        articles += n * main
+        plain += n * (not names)
+        for k in names:
+            size[k] += n
+            article[k] += n * (main and not opened_in_main[k])
+    page = {k for k, n in enumerate(size) if n and (n >= NEARLY * total or (article[k] and 2 * article[k] >= articles and article[k] >= plain))}
+    return [(path, text, chrome or not page.issuperset(names), main) for path, text, chrome, main, names in blocks]
 
 
 def parse(html: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list[int]]]:
     """Blocks (path, text, chrome, in an article) in page order, and for every path the
     different styles (checksums of the child sequence)."""
     blocks, styles = [], {}
-    stack = [["", "", False, False, []]]  # tag, path, chrome, main, labels of its children
+    opened_in_main: list[bool] = []  # per named branch
+    stack = [["", "", False, False, [], ()]]  # tag, path, chrome, main, labels of its children, named branches
     pending: list[str] = []
 
     def flush():
         text = " ".join("".join(pending).split())
         pending.clear()
         if text:
-            _, path, chrome, main, _ = stack[-1]
-            blocks.append((path, text, chrome, main))
+            _, path, chrome, main, _, names = stack[-1]
+            blocks.append((path, text, chrome, main, names))
 
     def pop():
-        _, path, _, _, children = stack.pop()
+        _, path, _, _, children, _ = stack.pop()
         styles.setdefault(path, set()).add(zlib.crc32("|".join(children).encode("utf-8", "replace")))
 
     def end(tags: set[str], scope: set[str]):
@@ -142,21 +167,24 @@ def parse(html: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list[
         end({"p"}, {"button", "table", "td", "th", "caption", "object", "template"})
         if tag in _ENDS:
             end(*_ENDS[tag])
-        _, path, chrome, main, children = stack[-1]
-        label, own = _element(tag, attrs, main)
+        _, path, chrome, main, children, names = stack[-1]
+        label, own, named = _element(tag, attrs, main)
         if len(children) < 2 or children[-1] != label or children[-2] != label:  # runs of equals count as two
             children.append(label)
         if tag in _VOID:
             continue
+        if named:
+            names = (*names, len(opened_in_main))
+            opened_in_main.append(main)
         deep = len(stack) > MAX_DEPTH
-        stack.append([tag, path if deep else f"{path}/{label}", chrome or own, main or (tag in ("article", "main") and not own), children if deep else []])
+        stack.append([tag, path if deep else f"{path}/{label}", chrome or own, main or (tag in ("article", "main") and not (own or named)), children if deep else [], names])
         if tag in _RAW:
             c = re.compile(f"</{tag}(?![a-z])", re.I).search(html, at)
             at = c.start() if c else n
     flush()
     while len(stack) > 1:
         pop()
-    return blocks, {p: sorted(s) for p, s in styles.items() if p}
+    return _judged(blocks, opened_in_main), {p: sorted(s) for p, s in styles.items() if p}
 
 
 _PAGE = "blocks array<struct<path:string,text:string,chrome:boolean,main:boolean>>, styles array<struct<path:string,style:long,first:int>>"
@@ -226,7 +254,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     low = written(low, "low")  # the low branches of a host's tree: its templates, not its pages
     both = parsed.join(low, parsed["host"] == low["low_host"], "left")
     text = F.filter("blocks", lambda b: ~b["chrome"])
-    text = F.when(F.exists(text, lambda b: b["main"]), F.filter(text, lambda b: b["main"])).otherwise(text)
+    article = F.filter(text, lambda b: b["main"])
+    size = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    text = F.when((F.size(article) > 0) & (2 * size(article) >= size(text)), article).otherwise(text)
     both = both.select("page_id", "url", "low", text.alias("blocks"))
     kept = F.filter("blocks", lambda b: ~F.exists(F.col("low"), lambda x: (b["path"] == x) | F.startswith(b["path"], F.concat(x, F.lit("/")))))
     kept = F.when(F.col("low").isNull() | (F.size(kept) == 0), F.col("blocks")).otherwise(kept)

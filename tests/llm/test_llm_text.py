@@ -65,6 +65,19 @@ def test_pages_counted_template_branches_go(spark):
     assert low["pages"] == 120 and high["pages"] == 3
 
 
+def test_pages_names_and_articles_are_no_more_than_hints(spark):
+    """A named branch that is the page stays, and a card does not stand for the page."""
+    story = "<p>the whole long story of the page</p><p>and its end</p>"
+    rows = [page(1, f"<body><div class='content-sidebar-wrap'><main><article>{story}</article></main></div><div class='footer'>f</div></body>", "w.example"),
+            page(2, f"<body><div class='layout has-sidebar'><div class='text'>{story}</div><div class='sidebar'>links</div></div></body>", "x.example"),
+            page(3, f"<body><div class='text'>{story}</div><article class='teaser'>card</article></body>", "y.example"),
+            page(4, f"<body><form id='aspnetForm'><div>{story}</div></form></body>", "z.example"),
+            page(5, f"<body><div>{story}</div><div class='sidebar'><article>card</article></div></body>", "v.example"),
+            page(6, f"<body><article>{story}<div class='share'>tweet</div></article><div>outside</div></body>", "u.example")]
+    got, whole = texts(spark, rows), "the whole long story of the page\nand its end"
+    assert got == {1: whole, 2: whole, 3: whole + "\ncard", 4: whole, 5: whole, 6: whole}
+
+
 def test_pages_table_matches_its_articles(spark):
     rows = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_text.main_text(rows).collect()}
