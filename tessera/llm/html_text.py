@@ -9,7 +9,8 @@ its texts over those pages (a text on every page weighs 0, a text on one page we
 and bottom-up (1 - g^l) * presentation + g^l * the average of its children, g = 0.9, l
 styles. A branch whose nodes all stay under the threshold is removed from every page of
 the host. Few pages tell little: the importance of a node on m pages is drawn towards 1 by
-``trust`` / (m + trust).
+``trust`` / (m + trust): a branch of equal texts goes from m > trust pages on, and one to
+three pages lose none.
 
 Element roles are known without counting: menus, footers, asides, dialogs, scripts and
 styles (by element, ARIA role or hidden) have importance 0. So have branches whose class or
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, written
 
-GAMMA, THRESHOLD, TRUST, MAX_DEPTH = 0.9, 0.5, 30, 24
+GAMMA, THRESHOLD, TRUST, MAX_DEPTH = 0.9, 0.5, 3, 24
 #: share of a page's text that a named branch must hold to be the page
 NEARLY = 0.8
 

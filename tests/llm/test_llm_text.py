@@ -65,6 +65,13 @@ def test_pages_counted_template_branches_go(spark):
     assert low["pages"] == 120 and high["pages"] == 3
 
 
+@pytest.mark.parametrize("pages", [4, 12, 30])
+def test_pages_counted_template_goes_on_small_hosts(spark, pages):
+    body = "<body><div class='xa'><p>Top of every page</p><p>Follow us</p></div><div class='xb'><p>{}</p><p>{}</p></div><div class='xc'>Same end</div></body>"
+    got = texts(spark, [page(i, body.format(f"story {i}", f"end {i}"), "few.example") for i in range(pages)])
+    assert got == {i: f"story {i}\nend {i}" for i in range(pages)}
+
+
 def test_pages_names_and_articles_are_no_more_than_hints(spark):
     """A named branch that is the page stays, and a card does not stand for the page."""
     story = "<p>the whole long story of the page</p><p>and its end</p>"
