@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_path
-from . import chat, exact_dedup, html_text, line_dedup, packing, severity, simhash, subword, token_store, winnowing
+from . import chat, exact_dedup, html_text, lexical, line_dedup, packing, severity, simhash, subword, token_store, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat.read_back_digest(chat.chat_windows(rows))
+
+
+@_query("op11_limited_accumulators", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT rid, doc_id, w, len(w) AS n FROM d WHERE len(w) > 0),
+st AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM x),
+i AS (SELECT row_number() OVER () AS q, item_id, unnest({_WORDS}) AS t FROM benchmark),
+it AS (SELECT q, item_id, t, count(*) AS c FROM i GROUP BY ALL),
+p AS (SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, n, unnest(w) AS t FROM x) SEMI JOIN (SELECT DISTINCT t FROM it) USING (t) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+s AS (SELECT it.q, it.item_id, p.rid, p.doc_id,
+             CAST(sum(it.c * CAST(floor(1000 * ln((2 * nd + 2) / (2 * df.df + 1))) AS BIGINT)
+                      * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // nt)))) AS BIGINT) AS score
+      FROM it JOIN p USING (t) JOIN df USING (t), st GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 20""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
