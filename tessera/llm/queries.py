@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_path
-from . import chat, exact_dedup, html_text, lexical, line_dedup, packing, severity, simhash, subword, token_store, winnowing
+from . import chat, exact_dedup, html_text, lexical, line_dedup, packing, severity, simhash, subword, suffix_dedup, token_store, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NU
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 20""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+@_query("op13_difference_cover")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_digest(_table(spark, sf_dir, "documents"), length=200)
