@@ -4,9 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import chat, exact_dedup, html_text, lexical, line_dedup, packing, severity, simhash, subword, suffix_dedup, token_store, winnowing
+from . import chat, exact_dedup, html_text, lexical, line_dedup, packing, prefix_trie, severity, simhash, subword, suffix_dedup, token_store, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,6 +148,38 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
 
 
+@_query("op12_monoid_prefixes", """
+WITH RECURSIVE
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+             sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+crc_of_byte(n, k, v) AS (SELECT range, 0, range FROM range(256) UNION ALL
+             SELECT n, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM crc_of_byte WHERE k < 8),
+crc(c, i, v) AS (SELECT DISTINCT c, 0, 4294967295 FROM t UNION ALL
+             SELECT crc.c, i + 1, xor(b.v, crc.v >> 8) FROM crc JOIN crc_of_byte b ON b.k = 8 AND b.n = xor(crc.v & 255, ascii(substr(CAST(crc.c AS VARCHAR), i + 1, 1)))
+             WHERE i < length(CAST(crc.c AS VARCHAR))),
+convs AS (SELECT c, c - c % 5 AS base, xor(v, 4294967295) % 9 AS h FROM crc WHERE i = length(CAST(c AS VARCHAR))),
+heads AS (SELECT convs.c, t.pos AS d, t.h, t.size FROM convs JOIN t ON t.c = convs.base AND t.pos <= convs.h),
+taken AS (SELECT c, count(*) AS n FROM heads GROUP BY c),
+built AS (SELECT * FROM heads UNION ALL
+          SELECT t.c, coalesce(taken.n, 0) + t.pos - convs.h, t.h, t.size FROM t JOIN convs ON t.c = convs.c LEFT JOIN taken ON taken.c = t.c WHERE t.pos > convs.h),
+paths AS (SELECT c, d, size, sha256(string_agg(h, ',') OVER (PARTITION BY c ORDER BY d)) AS path, d = max(d) OVER (PARTITION BY c) AS last FROM built
+          UNION ALL SELECT c, 0, 0, '', c NOT IN (SELECT c FROM built) FROM convs),
+named AS (SELECT *, min(c) OVER (PARTITION BY d, path) AS node FROM paths),
+links AS (SELECT DISTINCT a.node, a.d, b.node AS parent FROM named a JOIN named b ON a.c = b.c AND a.d = b.d + 1),
+nodes AS (SELECT node, d, count(*) AS n_convs, any_value(size) AS size, string_agg(CAST(CASE WHEN last THEN c END AS VARCHAR), ',' ORDER BY c) AS ends FROM named GROUP BY node, d),
+kids AS (SELECT parent, d - 1 AS d, count(*) AS n FROM links GROUP BY ALL),
+below AS (SELECT DISTINCT a.node, a.d, b.node AS low, b.d AS low_d FROM named a JOIN named b ON a.c = b.c AND b.d >= a.d),
+sums AS (SELECT below.node, below.d, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.size) AS saved
+         FROM below JOIN nodes x ON below.low = x.node AND below.low_d = x.d LEFT JOIN kids ON kids.parent = x.node AND kids.d = x.d GROUP BY ALL)
+SELECT nodes.node AS conv_id, CAST(nodes.d AS BIGINT) AS depth, links.parent AS parent_conv_id, nodes.n_convs, coalesce(kids.n, 0) AS n_children, sums.n_leaves,
+       CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(nodes.ends, '')) AS ends_sha256
+FROM nodes JOIN sums ON sums.node = nodes.node AND sums.d = nodes.d LEFT JOIN links ON links.node = nodes.node AND links.d = nodes.d
+LEFT JOIN kids ON kids.parent = nodes.node AND kids.d = nodes.d""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), base_of=c - c % 5, head_of=F.crc32(c.cast("string").cast("binary")) % 9)
+
+
 @_query("op13_difference_cover")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_digest(_table(spark, sf_dir, "documents"), length=200)
