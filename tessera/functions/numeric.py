@@ -28,14 +28,16 @@ def finite(col) -> Column:
     return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
+# A cast to double takes exactly the plain literals among the texts without these characters
+# (what is left out are letters as in "1d", "nan", "0x1p3", and signs that no number has).
+_FOREIGN = r"[^0-9eE+\-.\s]"
+
+
 def scan_number(col) -> Column:
     """Text -> double, NULL when the text is not a plain number; an overflow gives an
-    infinity. Names its input once: put it in a projection of its own below ``finite``.
-
-    The whole anchored match is extracted ('' when the text is not a number) and cast.
-    """
-    s = F.regexp_extract(_c(col).cast("string"), NUMBER_PATTERN, 0)
-    return F.trim(s).try_cast("double")
+    infinity. Put it in a projection of its own below ``finite``."""
+    s = _c(col).cast("string")
+    return F.when(~s.rlike(_FOREIGN), s.try_cast("double"))
 
 
 def parse_number(col) -> Column:

@@ -48,6 +48,16 @@ def is_missing_any(col, dtype: str) -> Column:
     return c.isNull()
 
 
+def clean_stripped(stripped: Column) -> Column:
+    """``clean_text`` of a text that is stripped already."""
+    return F.when(~F.coalesce(casefold(stripped).isin(MISSING_TOKENS), F.lit(True)), F.regexp_replace(stripped, _RUN_WS, " "))
+
+
+def key_of_clean(cleaned: Column) -> Column:
+    """``match_key`` of a cleaned text."""
+    return F.regexp_replace(casefold(cleaned), "[^a-z0-9]+", "")
+
+
 def clean_text(col) -> Column:
     """Missing -> NULL, otherwise strip and collapse inner whitespace runs to one space."""
     c = _c(col)

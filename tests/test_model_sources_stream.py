@@ -5,10 +5,15 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators.explain import explain
+from tessera.operators.extra_trees import TreeParams, fit_forest
+from tessera.operators.features import DEFAULT_INPUTS, FEATURE_NAMES, INPUTS_OF, LOOSE, add_features
 from tessera.operators.model import TrainParams, score, train
+from tessera.operators.sensitivity import dependency_map, explain_trained
 from tessera.plans import bindings as B
 from tessera.sources.bundle_io import load_bundle, save_bundle
 from tessera.operators.profile import profile_options
+from tessera.roles import RAW_INPUTS
 from tessera.sources.sinks import profile_document, sorted_options
 from tessera.sources.tables import read_table
 
@@ -30,6 +35,50 @@ def test_train_metrics_and_profile(bundle):
     assert doc["categorical_options"]["Channel"] == {"table": "options", "column": "Channel"}
 
 
+def test_drivers_by_dependency_equal_full_scorings(spark, bundle):
+    """Every variant scored whole, against replaced cells of one vector; rows with swapped
+    and missing values included."""
+    ex = B.experiments_from_orders(spark, SMALL).orderBy("o_orderkey").limit(120)
+    odd = spark.createDataFrame([(-1, "PVDF", "0.5"), (-2, "0.25", None), (-3, None, "0.7"), (-4, None, None), (-5, "x y", "abc")], "o_orderkey bigint, wt string, polymer string")
+    ex = ex.unionByName(odd.withColumn("Process", F.lit("Spin coat")).withColumn("Spin_RPM", F.lit("500")), allowMissingColumns=True)
+    fields = [c for c in RAW_INPUTS if c in ex.columns]
+    scorer = lambda d: score(d, bundle, keep=["__row", "__hidden", "__ord", "__value"])
+    full = explain(ex, "o_orderkey", fields, scorer, prediction="pred_log1p_tau_ms", top_n=25)
+    fast = explain_trained(ex, bundle, "o_orderkey", fields, top_n=25)
+    assert fast.columns == full.columns
+    key = lambda r: (r["o_orderkey"], r["feature"])
+    a, b = ({key(r): r for r in d.collect()} for d in (full, fast))
+    assert a.keys() == b.keys() and len(a) == 125 * len(fields)
+    for k in a:
+        assert a[k]["current_value"] == b[k]["current_value"]
+        for c in ("pred_log_without_feature", "current_log", "delta_log"):
+            assert abs(a[k][c] - b[k][c]) < 1e-9, (k, c)
+
+
+def test_dependency_map_is_sparse_and_complete(spark, bundle):
+    reach = dependency_map([c for c in RAW_INPUTS if c in bundle.feature_columns], bundle)
+    per_row = sum(len(r.computed) for r in reach)
+    assert len(FEATURE_NAMES) + per_row <= (len(reach) + 1) * len(FEATURE_NAMES) / 5
+    blank = {r: "__none" for r in DEFAULT_INPUTS}
+    one = spark.createDataFrame([(1.5, "spin")], "v double, p string").withColumn("__none", F.lit(None).cast("double"))
+    whole = {r: "p" if r == "process" else "v" for r in DEFAULT_INPUTS}
+    base = add_features(one, whole).first()
+    for role in DEFAULT_INPUTS:  # which features change when an input goes missing
+        gone = add_features(one.withColumn("__none", F.lit(None).cast("string")) if role == "process" else one, whole | {role: blank[role]}).first()
+        assert {n for n in FEATURE_NAMES if gone[n] != base[n]} <= {n for n in FEATURE_NAMES if role in INPUTS_OF[n]}
+        assert all(gone[n] is None for n in FEATURE_NAMES if role in INPUTS_OF[n] and n not in LOOSE)
+
+
+def test_forest_of_the_published_size(spark):
+    """1,500 full trees over all 445 rows of a table as wide as the assembled one."""
+    rows = spark.range(445).select(F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000.0 for i in range(82)]).alias("x"))
+    forest = fit_forest(rows.withColumn("y", F.get("x", F.lit(0)) + F.get("x", F.lit(1)) * F.get("x", F.lit(2))), TreeParams())
+    assert forest.trees.count() == 1500
+    assert forest.trees.agg(F.min(F.element_at("rows", 1)), F.max(F.element_at("rows", 1))).first() == (445, 445)
+    got = forest.predict(rows.withColumn("y", F.get("x", F.lit(0)) + F.get("x", F.lit(1)) * F.get("x", F.lit(2))), "x", "p")
+    assert got.agg(F.max(F.abs(F.col("p") - F.col("y")))).first()[0] < 1e-9  # leaves of one row
+
+
 def test_options_have_no_cap(spark):
     wide = spark.range(20_000).select(F.format_string("v%05d", 19_999 - F.col("id")).alias("c")).repartition(5)
     path = tempfile.mkdtemp(prefix="options-", dir="/tmp")
