@@ -3,8 +3,8 @@
 File format (Parquet containers, so that Spark reads and writes them in any store):
 
 * ``dictionary``: one row (dict_hash, width, dictionary). The dictionary is trained once
-  on the serialized id arrays of at most ``sample_docs`` documents and ``sample_bytes``
-  bytes, chosen by a hash of the doc_id over the whole table.
+  on the serialized id arrays of at most ``sample_docs`` documents, those of the least hash
+  over the whole table, of each at most its share of ``sample_bytes``.
 * ``blocks``: rows of up to 4 MB, sorted by doc_id over all files. A block holds the
   frames of its documents one after the other (each document is compressed on its own),
   the byte offset of every frame, the doc_ids, the token counts and the dictionary's hash.
@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import slim
+from ..session import written
+from .frames import slices, slim
 from .tokens import END_ID, encoder
 
 BLOCK_BYTES, BLOCK_DOCS, LEVEL = 4 << 20, 4096, 3
@@ -56,63 +57,73 @@ def train_dictionary(samples: list[bytes], size: int = 64 << 10) -> bytes:
 
 
 def sample_ids(docs: DataFrame, tokenizer: str | None, width: int, sample_docs: int, sample_bytes: int) -> list[bytes]:
-    """Serialized ids of about ``sample_docs`` documents spread over the whole table."""
-    end = np.uint32(END_ID).tobytes()
+    """Serialized ids of the ``sample_docs`` documents whose doc_id and text have the least
+    hashes in the whole table; of each its share of ``sample_bytes`` at most."""
+    end, most = np.uint32(END_ID).tobytes(), max(sample_bytes // sample_docs, 4) // 4 * 4
 
     def kernel(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([serialized(encoder(tokenizer).encode(t) + end, width) for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
-    every = max(1, docs.count() // sample_docs)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(sample_docs)
-    out, total = [], 0
-    for r in chosen.mapInArrow(kernel, "ids binary").toLocalIterator():
-        out.append(bytes(r["ids"]))
-        total += len(out[-1])
-        if total > sample_bytes:
-            break
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array([serialized(encoder(tokenizer).encode(t) + end, width)[:most] for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    chosen = hashed.orderBy("h").limit(sample_docs).select("text")
+    return [bytes(r["ids"]) for r in chosen.repartition(8).mapInArrow(kernel, "ids binary").toLocalIterator()]
+
+
+def frames(docs: DataFrame, tokenizer: str | None, width: int, dictionary: bytes) -> DataFrame:
+    """(doc_id, n_tokens, frame) per row of ``docs``: its ids with the end id, compressed."""
+    end, kind = np.uint32(END_ID).tobytes(), docs.schema["doc_id"].dataType.simpleString()
+
+    def kernel(batches):
+        import zstandard
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        encode = encoder(tokenizer).encode
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            raws = [encode(t) + end for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) // 4 for r in raws], pa.int64()),
+                                              pa.array([press.compress(serialized(r, width)) for r in raws], pa.binary())], ["doc_id", "n_tokens", "frame"])
+    return docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {kind}, n_tokens long, frame binary")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, sample_docs: int = 1000,
                 sample_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Tokenize every whole text and write the store below ``path`` in doc_id order."""
+    """Tokenize every whole text where it is read, and write the store below ``path`` in
+    doc_id order: only compressed frames are shuffled."""
     spark, d = docs.sparkSession, slim(docs, id_col, text_col)
-    width, end = width_of(tokenizer), np.uint32(END_ID).tobytes()
+    width = width_of(tokenizer)
     dictionary = train_dictionary(sample_ids(d, tokenizer, width, sample_docs, sample_bytes))
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, width, bytearray(dictionary))], "dict_hash string, width int, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     kind = d.schema["doc_id"].dataType.simpleString()
+    single = written(frames(d, tokenizer, width, dictionary), "frames", "uncompressed")
 
     def kernel(batches):
-        import zstandard
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        ids, counts, frames, size, block = [], [], [], 0, 0
+        ids, counts, held, size, block = [], [], [], 0, 0
         names = ["shard", "block", "dict_hash", "first_doc", "last_doc", "doc_ids", "n_tokens", "offsets", "payload"]
 
         def flush(shard, id_type):
-            ends = np.cumsum([0, *map(len, frames)])
+            ends = np.cumsum([0, *map(len, held)])
             known = [i for i in ids if i is not None]
-            row = [shard, block, digest, min(known, default=None), max(known, default=None), ids, counts, ends.tolist(), b"".join(frames)]
+            row = [shard, block, digest, min(known, default=None), max(known, default=None), ids, counts, ends.tolist(), b"".join(held)]
             kinds = [pa.int32(), pa.int32(), pa.string(), id_type, id_type, pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
         shard, id_type = None, None
         for b in batches:
             id_type = b.schema.field(0).type
-            for i, text, shard in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                raw = encoder(tokenizer).encode(text.as_py()) + end
+            for i, n, frame, shard in zip(*(b.column(c).to_pylist() for c in range(4))):
                 ids.append(i)
-                counts.append(len(raw) // 4)
-                frames.append(press.compress(serialized(raw, width)))
-                size += len(frames[-1])
+                counts.append(n)
+                held.append(frame)
+                size += len(frame)
                 if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
                     yield flush(shard, id_type)
-                    ids, counts, frames, size, block = [], [], [], 0, block + 1
+                    ids, counts, held, size, block = [], [], [], 0, block + 1
         if ids:
             yield flush(shard, id_type)
 
-    # two scans of the text: the first only finds the range bounds
-    ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("shard", F.spark_partition_id())
-    ordered.mapInArrow(kernel, _BLOCK.format(id=kind)).write.parquet(f"{path}/blocks")
+    # rows of one doc_id, or of none, are parted by a hash of their frame
+    tied = single.withColumn("tie", F.xxhash64("frame"))
+    ordered = tied.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n_tokens", "frame", F.spark_partition_id().alias("shard"))
+    ordered.mapInArrow(kernel, _BLOCK.format(id=kind)).write.parquet(f"{path}/blocks", compression="uncompressed")
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, int, bytes]:

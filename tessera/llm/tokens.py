@@ -86,13 +86,21 @@ class WordEncoder:
         # keys: a word after a space is itself, after a line break "\n" + word, the first "\r" + word
         return self._cached(("\r" + text).replace("\n", " \n").split(" "))
 
-    def _marked(self, keys: list[str]) -> list[bytes]:
-        """Ids of new keys. Letters are looked up by their own key, signs by "\t" + signs."""
-        pairs = [_SIGNED.fullmatch(k, 1 if k[0] in "\n\r" else 0) for k in keys]
-        pairs = [(k[0] + m[1] if k[0] in "\n\r" else m[1], "\t" + m[2]) if m else (k,) for k, m in zip(keys, pairs)]
+    def _add(self, keys: list[str]) -> None:
+        """Put the ids of new keys into the cache. A word that ends in signs is made of its
+        letters, looked up by their own key, and its signs, by "\t" + signs."""
         new, old = self.new, self.old
-        fresh = []
-        for k in {part for pair in pairs for part in pair}.difference(new):
+        fresh, signed = [], []
+        for k in keys:
+            if k[-1].isalnum():  # no signs at the end
+                fresh.append(k)
+                continue
+            m = _SIGNED.fullmatch(k, 1 if k[0] in "\n\r" else 0)
+            if m:
+                signed.append((k, k[0] + m[1] if k[0] in "\n\r" else m[1], "\t" + m[2]))
+            else:
+                fresh.append(k)
+        for k in {part for _, *pair in signed for part in pair}.difference(new).difference(fresh):
             got = old.get(k)
             if got is None:
                 fresh.append(k)
@@ -100,7 +108,7 @@ class WordEncoder:
                 new[k] = got
         ids = self._words([k[1:] if k[0] in "\n\r\t" else " " + k for k in fresh])
         new.update((k, self.line_break + i if k[0] == "\n" else i) for k, i in zip(fresh, ids))
-        return [b"".join([new[part] for part in pair]) for pair in pairs]
+        new.update([(k, new[letters] + new[signs]) for k, letters, signs in signed])
 
     def _cached(self, cuts: list[str]) -> bytes:
         missing = set(cuts).difference(self.new)
@@ -117,7 +125,7 @@ class WordEncoder:
                     fresh.append(w)
                 else:
                     new[w] = got
-            new.update(zip(fresh, self._marked(fresh)))
+            self._add(fresh)
             long = [w for w in fresh if len(w) > _LONGEST]
         ids = b"".join(map(self.new.__getitem__, cuts))
         for w in long:
