@@ -1,10 +1,12 @@
 """Session helpers: one place for the settings every job in the package relies on."""
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,6 +89,9 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
 def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts the
     lineage, survives lost executors, and keeps generated row ids fixed. ``codec``: the
@@ -94,7 +99,44 @@ def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that no plan reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._written_to)
+
+
+def written_alone(make: Callable[[], DataFrame], what: str, codec: str | None = None) -> DataFrame:
+    """``written(make(), what)``; the tables written on the way to it are removed then."""
+    _SCOPES.append([])
+    try:
+        out = written(make(), what, codec)
+    finally:
+        on_the_way = _SCOPES.pop()
+    if _SCOPES:
+        _SCOPES[-1].append(out._written_to)
+    for path in on_the_way:
+        if path != out._written_to:
+            _remove(out.sparkSession, path)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs left on the driver: plans and arrays that nothing refers
+    to any more, and with them the shuffle files and broadcasts that Spark keeps for them."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
 
 
 def ship_package(spark: SparkSession) -> None:
