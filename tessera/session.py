@@ -112,7 +112,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables of ``written`` that no plan reads any more."""
+    """Remove tables of ``written`` that no plan reads any more; removing one again does nothing."""
     for t in tables:
         _remove(t.sparkSession, t._written_to)
 
