@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,7 +15,6 @@ def _state(edges: DataFrame) -> tuple:
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Each edge with the least neighbour of its first node. Both sides are plain files,
     so the adaptive planner can split the rows of a hub."""
-    least = written(least, "least")
     return edges.join(least, edges["a"] == least["node"]).select("a", "b", "low")
 
 
@@ -35,15 +34,16 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         both = written(both, "both")
-        least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        least = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("low")), "least")
         large = _with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = written(large.distinct(), "large")
-        least = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-        pairs = _with_least(large, least)
+        low = written(large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")), "least")
+        pairs = _with_least(large, low)
         small = pairs.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(
             large.groupBy("a").agg(F.min("b").alias("b")))
         nxt = written(small.where("a <> b").distinct(), "edges")
         after = _state(nxt)
+        discard(both, least, large, low, nxt if after == state else e)
         if after == state:
             break
         e, state = nxt, after

@@ -8,7 +8,7 @@ against the index leaves the unknown digests, which are appended. The index side
 join needs no shuffle.
 
 Defined cases: a null text is an empty text, and all empty texts are equal. Ties on the
-length go to the smallest doc_id; a null doc_id loses to any other. Rows that repeat a
+length go to the smallest doc_id (of any type that sorts); a null doc_id loses to any other. Rows that repeat a
 doc_id and its text are one document: each row is returned, with the same decision. An
 empty table gives no rows. Other columns of the input are not looked at.
 """
@@ -43,9 +43,9 @@ class DigestIndex:
     so the index outlives the session.
     """
 
-    def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = 64, id_type: str = "bigint"):
         self.spark, self.path, self.name, self.buckets = spark, path, name, buckets
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id {id_type}, group_size BIGINT) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
 
     def append(self, rows: DataFrame) -> DataFrame:
@@ -56,8 +56,8 @@ class DigestIndex:
         then its smallest doc_id. group_size counts the rows of this batch plus the size
         at which the index first met the text.
         """
-        best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("low")))
-        batch = rows.groupBy("digest").agg((-best["low"]).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+        batch = rows.groupBy("digest").agg(best["id"].alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         batch = written(batch, "batch")
         known = written(self.spark.table(self.name).hint("merge").join(batch.select("digest"), "digest", "left_semi"), "known")
         fresh = batch.join(self.spark.table(self.name).select("digest").hint("merge"), "digest", "left_anti")
@@ -70,16 +70,18 @@ class DigestIndex:
 
 
 def exact_groups(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id",
-                 text_col: str = "text", buckets: int = 64, more: dict[str, Column] | None = None) -> DataFrame:
+                 text_col: str = "text", buckets: int | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, then ``more``.
 
-    Without ``index`` a new one is laid down in the shared folder.
+    Without ``index`` a new one is laid down in the shared folder, with as many buckets as
+    the digests have partitions if not told (64 at least).
     """
     spark = docs.sparkSession
+    rows = digests(docs, id_col, text_col, more)
     if index is None:
         path = shared_path(spark, "digest-index")
-        index = DigestIndex(spark, path, "digest_index_" + path.rsplit("-", 1)[1], buckets)
-    rows = digests(docs, id_col, text_col, more)
+        buckets = buckets or max(64, rows.rdd.getNumPartitions())
+        index = DigestIndex(spark, path, "digest_index_" + path.rsplit("-", 1)[1], buckets, rows.schema["doc_id"].dataType.simpleString())
     groups = written(index.append(rows), "groups")  # plain files: a hot digest's rows can be split
     return rows.join(groups, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),

@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_train_row
             ends = np.searchsorted(row, np.arange(1, len(b)))
             yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes() for x in np.split(v, ends)], pa.binary()) for v in (bucket, count)]
                                              + [b.column(1).cast(pa.int32())], ["ids", "counts", "label"])
-    sample = written(labelled(docs, labels, column, max_train_rows).mapInArrow(kernel, "ids binary, counts binary, label int"), "words")
+    sample = written(labelled(docs, labels, column, max_train_rows).select("text", "label").mapInArrow(kernel, "ids binary, counts binary, label int"), "words")
     ids, counts, toxic = [], [], []
     for r in sample.toLocalIterator():
         ids.append(np.frombuffer(r["ids"], "<i4"))

@@ -17,10 +17,10 @@ forest of its links. A bucket over ``cap`` is not collected: its members agree o
 mask, so it is cut again by three masks over the other bits, which loses no link and ends
 because at most 2^r fingerprints differ in the last r bits.
 
-Defined cases: a null text is empty and links like any other; rows without a doc_id get
-their fingerprint and link nothing by themselves (component_id is that of their equals,
-null if all lack an id); rows that repeat a doc_id are each returned, and texts that share
-a doc_id are one node; an empty table gives no rows; other columns are not looked at.
+Defined cases: a null text is empty and links like any other; every row is a node, so rows
+without a doc_id link others (component_id is the least doc_id reached, null if there is
+none) and texts that share a doc_id are not linked by it; rows that repeat a doc_id are
+each returned; an empty table gives no rows; other columns are not looked at.
 """
 from __future__ import annotations
 
@@ -251,14 +251,14 @@ def links(nodes: DataFrame, distance: int = 2, cap: int = 4096) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                 distance: int = 2, cap: int = 4096) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
-    fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    shared = fps.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("doc_id is not null and lo <> hi")
-    several = fps.join(shared.select("doc_id"), "doc_id", "left_semi").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = written(components(links(nodes.where("rep is not null"), distance, cap).union(several)), "roots")
-    byfp = written(nodes.join(roots, nodes["rep"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id")), "components")
+    """Per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the least
+    doc_id of the rows linked to it, null if none has one). Rows are the nodes of the
+    links, so rows without a doc_id link others and rows that share one are not linked by it."""
+    fps = written(fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.monotonically_increasing_id()), "fingerprints")
+    nodes = written(fps.groupBy("fp").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least")), "nodes")
+    roots = written(components(links(nodes.select("fp", "rep"), distance, cap)), "roots")
+    named = written(nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("root"), "least"), "named")
+    byfp = written(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "components")
     return fps.join(byfp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

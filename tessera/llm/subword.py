@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -170,27 +170,41 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, max_train_rows: int, label_id: str = "doc_id") -> DataFrame:
-    """(text, label) of at most ``max_train_rows`` learnable rows, picked by hash."""
+    """(label_id, text, label) of at most ``max_train_rows`` learnable rows, picked by hash."""
     rows = labels.select(F.col(f"`{label_id}`").alias("label_id"), F.col(f"`{column}`").alias("label")).where("label in (0, 1) and label_id is not null")
     rows = rows.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
     rows = written(rows.orderBy(F.xxhash64("label_id"), "label_id").limit(max_train_rows), "labelled")
     first = docs.join(F.broadcast(rows), docs["doc_id"] == rows["label_id"])  # bounded by max_train_rows
-    return first.groupBy("label_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+    return first.groupBy("label_id", "label").agg(F.min("text").alias("text")).select("label_id", "text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_train_rows: int = 3000) -> tuple[np.ndarray, float]:
-    """Features in the tasks, gradient descent on the driver; ``docs`` is (doc_id, text)."""
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_train_rows: int = 3000, max_train_bytes: int = 256 << 20) -> tuple[np.ndarray, float]:
+    """Features in the tasks, gradient descent in one task over the sample; the driver gets
+    the folded weights alone. ``docs`` is (doc_id, text). The sample is at most
+    ``max_train_rows`` rows, in the order of a hash, and ``max_train_bytes`` of features."""
     def kernel(batches):
         for b in batches:
-            got = bags(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()),
-                                              pa.array([g[1].astype("<f4").tobytes() for g in got], pa.binary()), b.column(1).cast(pa.int32())], ["ids", "weights", "label"])
-    sample = labelled(docs, labels, column, max_train_rows).mapInArrow(kernel, "ids binary, weights binary, label int")
-    rows, y = [], []
-    for r in written(sample, "bags").toLocalIterator():
-        rows.append((np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["weights"], "<f4")))
-        y.append(r["label"])
-    return train(rows, np.array(y, np.int64)) if rows else (np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
+            got = bags(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()),
+                                              pa.array([g[1].astype("<f4").tobytes() for g in got], pa.binary()), b.column(2).cast(pa.int32())], ["label_id", "ids", "weights", "label"])
+
+    def descend(batches):
+        rows, y = [], []
+        for b in batches:
+            for ids, weights, label in zip(*(b.column(i).to_pylist() for i in range(3))):
+                rows.append((np.frombuffer(ids, "<i4"), np.frombuffer(weights, "<f4")))
+                y.append(label)
+        if rows:
+            weights, bias = train(rows, np.array(y, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
+    sample = labelled(docs, labels, column, max_train_rows)
+    kind = sample.schema["label_id"].dataType.simpleString()
+    sample = written(sample.mapInArrow(kernel, f"label_id {kind}, ids binary, weights binary, label int"), "bags")
+    order = [F.xxhash64("label_id"), F.col("label_id")]
+    size = F.sum(F.octet_length("ids") + F.octet_length("weights")).over(Window.orderBy(*order))  # max_train_rows rows at most
+    one = sample.withColumn("upto", size).where(F.col("upto") <= max_train_bytes).coalesce(1).sortWithinPartitions(*order)
+    model = one.select("ids", "weights", "label").mapInArrow(descend, "weights binary, bias double").first()
+    return (np.frombuffer(model["weights"], "<f4"), model["bias"]) if model else (np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
 
 
 def scored(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = 0.3, max_train_rows: int = 3000,

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written, written_alone
 from .frames import raw_text, slices, slim
 from .winnowing import mixed
 
@@ -353,6 +353,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, block_bytes: int = 4
     grams = cut.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.max("several").alias("several"))
     grams = written(grams.where("n > 1 or several").select("gram", F.expr("low < high or several").alias("mixed")), "grams")
     live = written(cut.join(grams, "gram"), "live", "zstd")
+    discard(cut, grams)
     texts = live.groupBy("gram", "d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_id", "start", "windows")).alias("at"), F.first("mixed").alias("mixed"))
     texts = written(texts, "texts", "zstd")
     copied = texts.where("copies > 1").select("gram", "d1", "d2")
@@ -376,7 +377,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """(row_id, doc_id, text, spans) per row of ``docs``; spans: array of struct(start,
     windows), any order, null if nothing repeats."""
     rows = written(slim(docs, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()), "rows", "zstd")
-    spans = written(repeated_windows(rows, length, block_bytes), "spans")
+    spans = written_alone(lambda: repeated_windows(rows, length, block_bytes), "spans")
     spans = spans.groupBy("row_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     return rows.join(spans, "row_id", "left")
 

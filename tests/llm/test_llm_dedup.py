@@ -83,6 +83,17 @@ def test_exact_drop_and_empty(spark, docs):
     assert exact_dedup.drop_exact(empty(spark)).count() == 0
 
 
+def test_exact_groups_of_other_ids(spark):
+    """Text ids sort as text; the least long is an id like any other."""
+    rows = spark.createDataFrame([("b", "x y"), ("a", "xy "), (None, "x  y"), ("c", "z"), (None, None)], "doc_id string, text string")
+    got = {(r["doc_id"], r["text_sha256"][:4]): (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(rows, buckets=2).collect()}
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()[:4]
+    assert got[None, h("xy")] == (None, 3, True) and got["a", h("xy")] == (None, 3, False) and got["c", h("z")] == ("c", 1, True)
+    low = -(1 << 63)
+    rows = spark.createDataFrame([(low, "q"), (5, "q")], "doc_id long, text string")
+    assert {r["keep_id"] for r in exact_dedup.exact_groups(rows, buckets=2).collect()} == {low}
+
+
 def brute_fingerprint(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
     grams = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
@@ -104,27 +115,46 @@ def union(nodes, links):
 
 
 def brute_components(rows, fps, distance=2):
-    ids = [i for i, _ in rows if i is not None]
-    pairs = [(i, fp) for (i, _), fp in zip(rows, fps) if i is not None]
-    links = [(a, b) for k, (a, x) in enumerate(pairs) for b, y in pairs[:k] if bin(x ^ y).count("1") <= distance]
-    return union(ids, links)
+    """Least doc_id of each row's component; every row is a node, with an id or without."""
+    links = [(a, b) for a, x in enumerate(fps) for b, y in enumerate(fps[:a]) if bin(x ^ y).count("1") <= distance]
+    roots = union(range(len(rows)), links)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[roots[n]] = min(i, least.get(roots[n], i))
+    return [least.get(roots[n]) for n in range(len(rows))], roots
 
 
 def test_simhash_matches_brute_force(spark, docs):
     rows = corpus()
     fps = [brute_fingerprint(t) for _, t in rows]
-    roots = brute_components(rows, fps)
-    byfp = {}
-    for (i, _), fp in zip(rows, fps):
-        if i is not None:
-            byfp[fp] = roots[i]
-    want = sorted(((i, f"{fp:016x}", byfp.get(fp)) for (i, _), fp in zip(rows, fps)), key=str)
+    least, roots = brute_components(rows, fps)
+    want = sorted(((i, f"{fp:016x}", c) for (i, _), fp, c in zip(rows, fps, least)), key=str)
     assert sorted(map(tuple, simhash.near_groups(docs).collect()), key=str) == want
     kept = [r["doc_id"] for r in simhash.drop_near(docs).collect()]
-    assert sorted(kept) == sorted(set(roots.values()))
+    assert sorted(kept, key=str) == sorted({roots[n]: c for n, c in enumerate(least)}.values(), key=str)
     assert simhash.near_groups(empty(spark)).count() == 0
 
 
+def test_simhash_rows_without_an_id_link_others(spark):
+    base = words(400).split()
+    first = brute_fingerprint(" ".join(base))
+    chain, fp = [" ".join(base)], first
+    while len(chain) < 3:  # each within two bits of the one before, the ends farther apart
+        changed = " ".join(base[:RNG.randrange(300)] + [words(1)] + base[:RNG.randrange(300, 400)])
+        other = brute_fingerprint(changed)
+        if 0 < bin(other ^ fp).count("1") <= 2 and (len(chain) == 1 or bin(other ^ first).count("1") > 2):
+            chain, fp, base = [*chain, changed], other, changed.split()
+        elif RNG.random() < 0.5:
+            tail = base[:-RNG.randrange(1, 4)] + [words(1)]
+            other = brute_fingerprint(" ".join(tail))
+            if 0 < bin(other ^ fp).count("1") <= 2 and (len(chain) == 1 or bin(other ^ first).count("1") > 2):
+                chain, fp, base = [*chain, " ".join(tail)], other, tail
+    rows = [(1, chain[0]), (None, chain[1]), (3, chain[2]), (7, "far"), (7, words(50))]
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i, f"{brute_fingerprint(t):016x}"] for i, t in rows] == [1, 1, 1, 7, 7]
+
+
 @pytest.mark.parametrize("cap", [4096, 4])
 def test_links_find_every_pair_also_in_hot_buckets(spark, cap):
     rng = random.Random(3)
