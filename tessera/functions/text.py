@@ -4,6 +4,9 @@ All are JVM-side ``Column -> Column`` builders, so they stay inside codegen.
 """
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +30,19 @@ def strip_ws(col) -> Column:
     return F.btrim(_c(col).cast("string"), F.lit(WHITESPACE))
 
 
+@lru_cache(maxsize=1)
+def _folds() -> str:
+    """Characters whose case folding is not their lower case, as one JSON map (by rule)."""
+    return json.dumps({c: c.casefold() for c in map(chr, range(0x110000)) if c.casefold() != c.lower()})
+
+
 def casefold(col) -> Column:
-    """Lower-case; equals Python ``casefold`` except for a few letters such as ß."""
-    return F.lower(_c(col))
+    """Full Unicode case folding, as Python's ``casefold``. ASCII texts are only lowered;
+    others are folded character by character (so a final sigma is a sigma)."""
+    c = _c(col)
+    table = F.from_json(F.lit(_folds()), "map<string,string>")  # a constant: parsed once
+    folded = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), F.lower(x))), "")
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(folded)
 
 
 def is_missing(col) -> Column:

@@ -8,15 +8,14 @@ once approved, flattened back into training rows.
 """
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import finite, parse_user_number
 from ..functions.text import blank_to_null
 from ..roles import MODEL_FAMILY
-from ..session import written
+from .keyed_table import KeyedTable
 from .metrics import regression_metrics
 from .profile import completeness
 from .schema import quoted
@@ -138,24 +137,22 @@ def broken_rules(df: DataFrame) -> DataFrame:
     return df.where(missing | ~F.coalesce(F.col("tau_ms") > 0, F.lit(False)) | ~F.coalesce(F.col("status") == "pending", F.lit(False)))
 
 
+def submission_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The submission table at ``path``; ``id`` is its primary key."""
+    return KeyedTable(spark, path, SUBMISSION_SCHEMA, "id")
+
+
 def append_submissions(df: DataFrame, path: str) -> tuple[bool, str]:
-    """Append to the status-partitioned submission table; (ok, message) like a form.
+    """Append to the submission table; (ok, message) like a form.
 
-    The batch is refused whole if a row breaks the table's constraints. ``id`` is the
-    primary key: ids that the table holds, and repeats within the batch, are not written
-    again, so a repeated append changes nothing. Batches are meant to come one at a time.
+    The batch is refused whole if a row breaks the table's constraints. Ids that the table
+    holds, and repeats within the batch, are not written again, so a repeated append
+    changes nothing; writers may overlap.
     """
-    batch = written(df.select(*[F.col(n) for n in SUBMISSION_SCHEMA.fieldNames()]).dropDuplicates(["id"]), "submissions")
-    bad = broken_rules(batch).count()
+    bad = broken_rules(df.select(*[F.col(n) for n in SUBMISSION_SCHEMA.fieldNames()])).count()
     if bad:
         return False, f"Submission failed: {bad} row(s) break the table's constraints."
-    try:
-        known = df.sparkSession.read.schema(SUBMISSION_SCHEMA).parquet(path).select("id")
-        batch = written(batch.join(known, "id", "left_anti"), "submissions")
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            return False, f"Submission failed: {exc}"
-    batch.write.mode("append").partitionBy("status").parquet(path)
+    submission_table(df.sparkSession, path).append(df)
     return True, "Submission stored as pending."
 
 
@@ -173,6 +170,38 @@ def flatten_submissions(df: DataFrame, input_schema: T.StructType, label: str =
     return flat
 
 
+def _leaves(kind: T.DataType, path: str = "$", name: str = "") -> list[tuple[str, str, T.DataType]]:
+    """(column name, path, type) of the scalar fields of an inferred object."""
+    if not isinstance(kind, T.StructType):
+        return [(name, path, kind)]
+    out = []
+    for f in kind.fields:
+        step = f'["{f.name}"]'
+        out += _leaves(f.dataType, path + step, f"{name}_{f.name}" if name else f.name)
+    return out
+
+
+def flatten_variants(df: DataFrame, label: str = "Tau_ms", key: str = "row_key") -> DataFrame:
+    """Approved submissions -> training rows without a schema by hand.
+
+    The inputs are parsed as VARIANT; one aggregation finds the fields that any approved
+    submission holds and their common types. Nested objects give one column per leaf
+    (``outer_inner``); numbers are doubles; a field whose type drifts between submissions,
+    and lists, are text. A submission that lacks a field, or whose JSON is broken, has NULL.
+    """
+    ok = df.filter(F.col("status") == "approved")
+    rows = ok.select(F.concat(F.lit("submission-"), F.col("id")).alias(key), F.try_parse_json("input_data").alias("__v"), F.col("tau_ms").alias(label))
+    found = rows.agg(F.schema_of_variant_agg("__v")).first()[0]
+    kind = T.DataType.fromDDL(found.replace("OBJECT<", "STRUCT<")) if found and found.startswith("OBJECT<") else T.StructType()
+    leaves = _leaves(kind) if isinstance(kind, T.StructType) and kind.fields else []
+
+    def read(path: str, type_: T.DataType) -> Column:
+        if isinstance(type_, T.NumericType):
+            return finite(F.try_variant_get("__v", path, "double"))
+        return F.try_variant_get("__v", path, "boolean" if isinstance(type_, T.BooleanType) else "string")
+    return rows.select(key, *[read(p, t).alias(n) for n, p, t in leaves], label)
+
+
 def submission_errors(df: DataFrame, by=("model_type", "status")) -> DataFrame:
     """Prediction error of stored predictions against measured labels, in log1p space."""
     x = df.withColumn("__y", F.log1p(F.col("tau_ms")))

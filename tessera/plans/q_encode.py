@@ -8,7 +8,7 @@ from ..operators.encoders import (CountFrequencyEncoder, KFoldTargetEncoder, Med
                                   OrdinalEncoder)
 from ..operators.metrics import regression_metrics
 from ..operators.quantile_target import QuantileTarget
-from ..operators.split import hash_fold, hash_split
+from ..operators.split import balanced_fold, exact_split, hash_fold, hash_split
 from . import bindings as B
 from .registry import register
 from .sql import LI_KEY_TXT, LI_PARTS, OOF_FROM, OOF_SQL, OOF_WITH, h32
@@ -127,6 +127,25 @@ def q_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
                       output="is_test")
 
 
+_RANK = "row_number() OVER (ORDER BY {}, o_orderkey) - 1"
+
+
+@register("balanced_fold", f"""
+SELECT o_orderkey, CAST(({_RANK.format(h32('fold', 'CAST(o_orderkey AS VARCHAR)'))}) % 5 AS INTEGER) AS fold FROM orders
+""")
+def q_balanced_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five folds by the rank of the order key hash: sizes differ by one at most."""
+    return balanced_fold(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 5)
+
+
+@register("exact_split", f"""
+SELECT o_orderkey, {_RANK.format(h32('split', 'CAST(o_orderkey AS VARCHAR)'))} < ceil(0.2 * (SELECT count(*) FROM orders)) AS is_test FROM orders
+""")
+def q_exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train/test flag by the rank of the order key hash: exactly a fifth are test rows."""
+    return exact_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.2)
+
+
 # ------------------------------------------------------------------ median imputation
 @register("median_impute", """
 WITH base AS (SELECT l_orderkey, l_linenumber, nullif(l_discount, 0.0) AS d, nullif(l_tax, 0.0) AS t FROM lineitem),

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import parse_number
-from ..operators.submissions import (assemble_payload, flatten_submissions, submission_errors,
+from ..operators.keyed_table import KeyedTable
+from ..operators.submissions import (assemble_payload, flatten_submissions, flatten_variants, submission_errors,
                                      validate_submissions)
 from ..roles import MODEL_FAMILY
+from ..session import shared_path
 from .registry import register
 from .tables import r6, table
 
@@ -122,6 +124,37 @@ def q_submission_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_submissions(subs, _IN_SCHEMA, "Tau_ms", training).select("row_key", "k", "Tau_ms")
 
 
+@register("submission_variants", """
+SELECT 'submission-' || CAST(event_id AS VARCHAR) AS row_key,
+       CASE event_id % 3 WHEN 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) WHEN 1 THEN CAST(user_id AS DOUBLE) END AS k,
+       CASE WHEN event_id % 3 = 1 THEN CAST(event_id AS DOUBLE) END AS gate_v, CASE WHEN event_id % 3 = 1 THEN event_type END AS gate_mode,
+       CASE WHEN event_id % 3 = 2 THEN CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 't' || CAST(user_id AS VARCHAR) END END AS drift,
+       value * 100 AS Tau_ms
+FROM events WHERE event_type <> 'error'""")
+def q_submission_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved submissions whose JSON is nested, lacks fields and drifts in type, flattened
+    by the schema found in them."""
+    e, text = table(spark, sf_dir, "events"), lambda c: F.col(c).cast("string")
+    nested = F.concat(F.lit('{"k": '), text("user_id"), F.lit(', "gate": {"v": '), text("event_id"), F.lit(', "mode": "'), "event_type", F.lit('"}}'))
+    drift = F.concat(F.lit('{"drift": '), F.when(F.col("event_id") % 2 == 0, text("event_id")).otherwise(F.concat(F.lit('"t'), text("user_id"), F.lit('"'))), F.lit("}"))
+    kind = F.col("event_id") % 3
+    subs = e.select(text("event_id").alias("id"), F.when(F.col("event_type") != "error", "approved").otherwise("pending").alias("status"),
+                    F.when(kind == 0, F.col("props")).when(kind == 1, nested).otherwise(drift).alias("input_data"), (F.col("value") * 100).alias("tau_ms"))
+    return flatten_variants(subs).select("row_key", "k", "gate_v", "gate_mode", "drift", "Tau_ms")
+
+
+@register("keyed_append", """
+SELECT event_id, user_id, value, CASE WHEN event_id % 3 < 2 THEN 1 ELSE 2 END AS batch FROM events""")
+def q_keyed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends that share a third of the events, into a table keyed by the event: an id
+    is added once, by the first."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    keyed = KeyedTable(spark, shared_path(spark, "keyed"), e.withColumn("batch", F.lit(1)).schema, "event_id")
+    keyed.append(e.where("event_id % 3 < 2").withColumn("batch", F.lit(1)))
+    keyed.append(e.where("event_id % 3 > 0").withColumn("batch", F.lit(2)))
+    return keyed.read()
+
+
 @register("submission_errors", f"""
 WITH s AS ({_SUB_SQL}),
 p AS (SELECT event_type AS model_type, status, ln(1 + value) AS y,

@@ -7,6 +7,12 @@ micro-batch writes into a folder named by its batch id with overwrite mode, so a
 batch re-run after a failure replaces its own output instead of duplicating it;
 the checkpoint folder records progress, so a restarted query resumes where it
 stopped.
+
+An id is taken once: the stream keeps the ids it has seen as keyed state that expires
+``keep_ids`` after their time (``dropDuplicatesWithinWatermark``), so a batch costs the same
+whatever the sink holds. The time is that of arrival, which is never late, or a column of
+the rows; then a row older than the watermark is late and left out. For ids that must stay
+unique beyond that, append the accepted rows to a ``KeyedTable``.
 """
 from __future__ import annotations
 
@@ -24,27 +30,25 @@ def start_intake(spark: SparkSession, source: str, schema: T.StructType, sink: s
                  prepare: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
                  available_now: bool = True, file_filter: str | None = None,
                  scorer: Callable[[DataFrame], DataFrame] | None = None, input_cols: list[str] | None = None,
-                 id_col: str | None = None):
+                 id_col: str | None = None, time_col: str | None = None, keep_ids: str = "7 days"):
     """Start the stream on the landing folder ``source`` (optionally only files whose
     name matches ``file_filter``); ``prepare`` maps landed rows to the validator's
     columns (``tau_raw``, ``confirmed`` and optional ``status``) and the inputs.
 
     ``scorer`` adds the stored prediction (any DataFrame -> DataFrame), ``input_cols`` the
-    number of filled inputs. With ``id_col`` a row whose id an earlier batch or this one
-    already holds is left out.
+    number of filled inputs. With ``id_col`` a row whose id has come before, within
+    ``keep_ids`` by ``time_col`` (the time of arrival if not given), is left out.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if file_filter:
         reader = reader.option("pathGlobFilter", file_filter)
     stream = reader.load(source)
+    if id_col:
+        time = F.current_timestamp() if time_col is None else F.col(time_col).cast("timestamp")
+        stream = stream.withColumn("__time", time).withWatermark("__time", keep_ids).dropDuplicatesWithinWatermark([id_col])
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare(batch)
-        if id_col:
-            rows = rows.dropDuplicates([id_col])
-            if batch_id:
-                before = spark.read.parquet(sink).where(F.col("batch") < batch_id).select(F.col(id_col).alias("__known"))
-                rows = rows.join(before, rows[id_col] == before["__known"], "left_anti")
+        rows = prepare(batch.drop("__time"))
         if input_cols:
             rows = completeness(rows, input_cols, "input_completeness_filled", "input_completeness_total")
         if scorer:

@@ -1,5 +1,7 @@
 """Training chain, bundle round trip, suffix reads, stream intake = batch validation."""
+import datetime
 import os
+import shutil
 import tempfile
 
 import pytest
@@ -16,6 +18,7 @@ from tessera.operators.profile import profile_options
 from tessera.roles import RAW_INPUTS
 from tessera.sources.sinks import profile_document, sorted_options
 from tessera.sources.tables import read_table
+from tessera.streaming.intake import run_intake
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -125,3 +128,48 @@ def test_stream_equals_batch(spark):
     assert streamed.count() == ev.select("event_id").distinct().count()
     acc = streamed.filter(F.col("intake") == "accepted").count()
     assert acc == streamed.filter(F.col("accepted")).count()
+
+
+def _land(spark, folder, rows):
+    spark.createDataFrame(rows, "id long, tau string, at timestamp").coalesce(1).write.mode("append").parquet(folder)
+
+
+def _intake(spark, d, **more):
+    prepare = lambda b: b.select("id", F.col("tau").alias("tau_raw"), F.lit(True).alias("confirmed"))
+    schema = spark.createDataFrame([], "id long, tau string, at timestamp").schema
+    return run_intake(spark, f"{d}/in", schema, f"{d}/out", f"{d}/checkpoint", prepare, id_col="id", **more)
+
+
+def test_restarted_intake_takes_an_id_once(spark):
+    d, t = tempfile.mkdtemp(prefix="intake-", dir="/tmp"), datetime.datetime(2024, 1, 1)
+    _land(spark, f"{d}/in", [(1, "5", t), (2, "6", t), (2, "6", t)])
+    assert sorted(r["id"] for r in _intake(spark, d).collect()) == [1, 2]
+    _land(spark, f"{d}/in", [(2, "7", t), (3, "8", t)])  # a new query on the same checkpoint
+    out = _intake(spark, d)
+    assert sorted(r["id"] for r in out.collect()) == [1, 2, 3]
+    plan = out.where("id = 3").select("batch").first()[0]
+    assert plan > 0 and out.where("id = 2").select("batch").first()[0] == 0
+
+
+def test_intake_by_event_time_forgets_ids_and_leaves_late_rows_out(spark):
+    d, t = tempfile.mkdtemp(prefix="intake-", dir="/tmp"), datetime.datetime(2024, 1, 1)
+    day = datetime.timedelta(days=1)
+    more = {"time_col": "at", "keep_ids": "2 days"}
+    _land(spark, f"{d}/in", [(1, "5", t)])
+    _intake(spark, d, **more)
+    _land(spark, f"{d}/in", [(1, "5", t + day), (2, "5", t + 20 * day)])  # 1 is known; 2 moves the watermark
+    _intake(spark, d, **more)
+    _land(spark, f"{d}/in", [(3, "5", t), (1, "9", t + 21 * day)])  # 3 is late, 1 has expired
+    got = sorted((r["id"], r["tau_ms"]) for r in _intake(spark, d, **more).collect())
+    assert got == [(1, 5.0), (1, 9.0), (2, 5.0)]
+
+
+def test_a_batch_does_not_read_the_sink(spark):
+    """What a batch reads is the landed files alone."""
+    d, t = tempfile.mkdtemp(prefix="intake-", dir="/tmp"), datetime.datetime(2024, 1, 1)
+    for k in range(3):
+        _land(spark, f"{d}/in", [(k, "5", t)])
+        _intake(spark, d)
+    shutil.move(f"{d}/out", f"{d}/elsewhere")  # history out of reach
+    _land(spark, f"{d}/in", [(1, "5", t), (9, "5", t)])
+    assert [r["id"] for r in _intake(spark, d).collect()] == [9]

@@ -97,7 +97,7 @@ def test_driver_captions(spark):
 
 def test_append_submissions(spark):
     import tempfile
-    from tessera.operators.submissions import append_submissions, assemble_payload
+    from tessera.operators.submissions import append_submissions, assemble_payload, submission_table
     rows = [(1, "12000", True, "x", 3.0), (2, "7", True, None, None)]
     df = spark.createDataFrame(rows, "i int, tau_raw string, confirmed boolean, a string, b double")
     v = validate_submissions(df).filter("accepted")
@@ -106,12 +106,12 @@ def test_append_submissions(spark):
     ok, msg = append_submissions(pay, path)
     assert ok, msg
     ok, _ = append_submissions(pay.union(pay), path)  # the same ids again: nothing changes
-    back = spark.read.parquet(path)
+    back = submission_table(spark, path).read()
     assert ok and back.count() == 2 and back.filter("status = 'pending'").count() == 2
     for rule in ({"status": F.lit("approved")}, {"tau_ms": F.lit(-1.0)}, {"tau_ms": F.lit(None).cast("double")}, {"input_data": F.lit(None).cast("string")}):
         ok, msg = append_submissions(pay.withColumn("id", F.concat(F.lit("x"), "id")).withColumns(rule), path)
         assert not ok and "constraints" in msg
-    assert spark.read.parquet(path).count() == 2
+    assert submission_table(spark, path).read().count() == 2
     r = back.filter("id = '2'").first()
     assert r["input_completeness_filled"] == 0 and r["input_data"] == '{"a":null,"b":null}'
 

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_text, is_missing, match_key
+from tessera.functions.text import casefold, clean_text, contains_folded, is_missing, match_key
 from tessera.operators.canonical import canonicalize_all
 from tessera.operators.dictionaries import DEVICE_DICTIONARIES
 
@@ -68,3 +68,18 @@ def test_canonicalize_is_idempotent(spark):
     once = canonicalize_all(df, ["Process", "Electrode_type", "Solvent"])
     twice = canonicalize_all(once, ["Process", "Electrode_type", "Solvent"])
     assert once.collect() == twice.collect()
+
+
+def test_casefold_is_the_full_folding(spark):
+    """Every character that case folding changes, alone and within words."""
+    chars = [c for c in map(chr, [*range(1, 0x3000), *range(0xA640, 0xABC0), *range(0xFB00, 0xFF60), *range(0x10400, 0x10430), *range(0x1E900, 0x1E944)])
+             if c.casefold() != c and not 0xD800 <= ord(c) < 0xE000]
+    words = [*chars, "STRASSE", "Straße", "ﬁn", "ΌΣΟΣ", "όσος", "MIßING", "miſſing", "", "plain", "İx"]
+    df = spark.createDataFrame([(w, w.casefold()) for w in words], "w string, want string")
+    assert df.where(casefold("w") != F.col("want")).collect() == []
+
+
+def test_folding_reaches_keys_tokens_and_predicates(spark):
+    row = spark.createDataFrame([("miſſing", "ﬁne Groß", "ſPIN")], "a string, b string, c string").select(
+        is_missing("a").alias("a"), match_key("b").alias("b"), contains_folded("c", "spin").alias("c")).first()
+    assert tuple(row) == (True, "finegross", True)
