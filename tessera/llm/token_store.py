@@ -32,7 +32,7 @@ from ..session import written
 from .frames import slices, slim
 from .tokens import END_ID, encoder
 
-BLOCK_BYTES, BLOCK_DOCS, LEVEL = 4 << 20, 4096, 3
+BLOCK_BYTES, BLOCK_DOCS, LEVEL = 4 << 20, 4096, 1
 _BLOCK = ("shard int, block int, dict_hash string, first_doc {id}, last_doc {id}, doc_ids array<{id}>, "
           "n_tokens array<long>, offsets array<long>, payload binary")
 
@@ -64,8 +64,9 @@ def sample_ids(docs: DataFrame, tokenizer: str | None, width: int, sample_docs:
     def kernel(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([serialized(encoder(tokenizer).encode(t) + end, width)[:most] for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
-    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
-    chosen = hashed.orderBy("h").limit(sample_docs).select("text")
+    h = F.xxhash64("doc_id", "text")
+    limit = docs.select(h.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]  # hashes alone are sorted
+    chosen = docs.where(h <= F.lit(limit)).select("text").limit(sample_docs)
     return [bytes(r["ids"]) for r in chosen.repartition(8).mapInArrow(kernel, "ids binary").toLocalIterator()]
 
 
