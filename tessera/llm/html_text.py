@@ -7,13 +7,18 @@ node, after the entropy measures of the site style tree: presentation, the entro
 styles over the m pages that have it (base m); content, one less the average entropy of
 its texts over those pages (a text on every page weighs 0, a text on one page weighs 1);
 and bottom-up (1 - g^l) * presentation + g^l * the average of its children, g = 0.9, l
-styles. A branch whose nodes all stay under the threshold is removed from every page of
-the host. Few pages tell little: the importance of a node on m pages is drawn towards 1 by
-``trust`` / (m + trust): a branch of equal texts goes from m > trust pages on, and one to
-three pages lose none.
+styles. A branch whose nodes all stay under the threshold is low. Few pages tell little:
+the importance of a node on m pages is drawn towards 1 by ``trust`` / (m + trust): a branch
+of equal texts is low from two pages on, a host of one page has none.
+
+Branches go as wholes. A low block element (div, section, ...) is removed from every page of
+the host. A low text element (heading, paragraph, item, cell, ...) is judged with the block
+element it stands in: between elements that are not low it is part of their text and stays
+(a heading if one follows), as it does anywhere in an article that is not low; at the edges
+it goes.
 
 Element roles are known without counting: menus, footers, asides, dialogs, scripts and
-styles (by element, ARIA role or hidden) have importance 0. So have branches whose class or
+styles (by element, ARIA role or hidden, by attribute or inline style) have importance 0. So have branches whose class or
 id names a header, sidebar, notice, advert, form, share or comment box, headers and forms,
 unless the branch holds the page's article (or main) or ``NEARLY`` all of its text. Where
 articles (or main) hold at least half of the text that is left, only that is text. A page
@@ -41,7 +46,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, written
 
-GAMMA, THRESHOLD, TRUST, MAX_DEPTH = 0.9, 0.5, 3, 24
+GAMMA, THRESHOLD, TRUST, MAX_DEPTH = 0.9, 0.5, 1, 24
 #: share of a page's text that a named branch must hold to be the page
 NEARLY = 0.8
 
@@ -67,6 +72,10 @@ _CHROME_WORDS = set("ad ads advert adverts advertisement advertisements advertis
                     "subscribe subscription signup login search share sharing social comment comments disqus respond replies reply related recommended recommendations "
                     "widget widgets toolbar pagination pager copyright disclaimer form".split())
 _HEADER_WORDS = {"header", "topbar", "top"}
+#: elements that are text of the block element around them
+_HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup dt th caption figcaption legend summary".split())
+_TEXTS = _HEADINGS | set("p li ul ol dl dd pre blockquote address center table thead tbody tfoot tr td figure hr option".split())
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _element(tag: str, attrs: str, in_main: bool) -> tuple[str, bool, bool]:
@@ -81,7 +90,8 @@ def _element(tag: str, attrs: str, in_main: bool) -> tuple[str, bool, bool]:
     label = tag + "".join(sorted({"." + re.sub(r"\d+", "", w).replace("/", "")[:40] for w in names.split()}))
     if tag in ("html", "body", "main"):
         return label, False, False
-    chrome = tag in _CHROME_TAGS or a.get("role", "").lower() in _CHROME_ROLES or a.get("aria-hidden", "").lower() == "true" or "hidden" in a
+    chrome = tag in _CHROME_TAGS or a.get("role", "").lower() in _CHROME_ROLES or a.get("aria-hidden", "").lower() == "true" or "hidden" in a \
+        or bool(_UNSEEN.search(a.get("style", "")))
     named = tag == "form" or bool(words & _CHROME_WORDS) or (not in_main and (tag == "header" or bool(words & _HEADER_WORDS)))
     return label, chrome, named
 
@@ -188,6 +198,31 @@ def parse(html: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list[
     return _judged(blocks, opened_in_main), {p: sorted(s) for p, s in styles.items() if p}
 
 
+def home(path: str) -> tuple[str, bool]:
+    """The block element that a block belongs to, and whether the block is a heading."""
+    steps = path.split("/")
+    heads = False
+    while len(steps) > 1 and steps[-1].split(".", 1)[0] in _TEXTS:
+        heads = heads or steps[-1].split(".", 1)[0] in _HEADINGS
+        steps.pop()
+    return "/".join(steps), heads
+
+
+def kept(blocks: list[tuple[str, str, bool]], low: set[int]) -> list[str]:
+    """Texts of the blocks (path, text, in an article) that stay, given which are low."""
+    homes = [home(path) for path, *_ in blocks]
+    first, last = {}, {}
+    for i, (where, _) in enumerate(homes):
+        if i not in low:
+            first.setdefault(where, i)
+            last[where] = i
+    out = []
+    for i, ((_, text, main), (where, heads)) in enumerate(zip(blocks, homes)):
+        if i not in low or (where in last and (main or (i < last[where] and (heads or first[where] < i)))):
+            out.append(text)
+    return out or [text for _, text, _ in blocks]
+
+
 _PAGE = "blocks array<struct<path:string,text:string,chrome:boolean,main:boolean>>, styles array<struct<path:string,style:long,first:int>>"
 
 
@@ -250,16 +285,21 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Per row of ``pages``: page_id, url, text, n_chars."""
     ship_package(pages.sparkSession)
     p = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    parsed = written(parsed_pages(p), "pages")
-    low = style_tree(parsed, trust).where(F.col("best") < threshold).groupBy(F.col("host").alias("low_host")).agg(F.collect_set("path").alias("low"))
-    low = written(low, "low")  # the low branches of a host's tree: its templates, not its pages
-    both = parsed.join(low, parsed["host"] == low["low_host"], "left")
+    parsed = written(parsed_pages(p).withColumn("page", F.monotonically_increasing_id()), "pages")
     text = F.filter("blocks", lambda b: ~b["chrome"])
     article = F.filter(text, lambda b: b["main"])
     size = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
     text = F.when((F.size(article) > 0) & (2 * size(article) >= size(text)), article).otherwise(text)
-    both = both.select("page_id", "url", "low", text.alias("blocks"))
-    kept = F.filter("blocks", lambda b: ~F.exists(F.col("low"), lambda x: (b["path"] == x) | F.startswith(b["path"], F.concat(x, F.lit("/")))))
-    kept = F.when(F.col("low").isNull() | (F.size(kept) == 0), F.col("blocks")).otherwise(kept)
-    out = both.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    pages = parsed.select("page", "page_id", "url", "host", text.alias("blocks"))
+    low = written(style_tree(parsed, trust).where(F.col("best") < threshold).select("host", "path"), "low")
+    # a block is low if its own node is: one row per block, none gathered by host
+    placed = pages.select("page", "host", F.posexplode(F.transform("blocks", lambda b: b["path"])).alias("at", "path"))
+    found = placed.join(low, ["host", "path"], "left_semi").groupBy("page").agg(F.collect_list("at").alias("low"))
+    both = pages.join(written(found, "low-blocks"), "page", "left").select("page_id", "url", "blocks", F.coalesce("low", F.array().cast("array<int>")).alias("low"))
+
+    def kernel(batches):
+        for b in batches:
+            out = ["\n".join(kept([(x["path"], x["text"], x["main"]) for x in blocks], set(low))) for blocks, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+    kind = p.schema["page_id"].dataType.simpleString()
+    return both.mapInArrow(kernel, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

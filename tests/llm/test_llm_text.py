@@ -49,15 +49,15 @@ def test_pages_article_and_broken_markup(spark):
 
 
 def test_pages_counted_template_branches_go(spark):
-    """Unnamed template branches are removed by the tree alone; on a host with few pages
-    and where the text is all a page has, they stay."""
+    """Unnamed template branches are removed by the tree alone; where the text is all a page
+    has, it stays."""
     body = "<body><div class='xa'><p>Top of every page</p><p>Follow us</p></div><div class='xb'><p>{}</p><p>{}</p></div><div class='xc'>Same end</div></body>"
     rows = [page(i, body.format(f"story {i} begins", f"and story {i} ends"), "big.example") for i in range(120)]
     rows += [page(1000 + i, body.format(f"few {i}", f"end {i}"), "few.example") for i in range(3)]
     rows += [page(2000 + i, "<div class='x9'><p>identical</p></div>", "mirror.example") for i in range(80)]
     got = texts(spark, rows)
     assert got[7] == "story 7 begins\nand story 7 ends"
-    assert got[1001] == "Top of every page\nFollow us\nfew 1\nend 1\nSame end"
+    assert got[1001] == "few 1\nend 1"
     assert got[2005] == "identical"
     tree = {(r["host"], r["path"]): r for r in html_text.style_tree(html_text.parsed_pages(
         spark.createDataFrame(rows, PAGES).select("page_id", "url", "html"))).collect()}
@@ -65,13 +65,77 @@ def test_pages_counted_template_branches_go(spark):
     assert low["pages"] == 120 and high["pages"] == 3
 
 
-@pytest.mark.parametrize("pages", [4, 12, 30])
+@pytest.mark.parametrize("pages", [2, 3, 12, 30])
 def test_pages_counted_template_goes_on_small_hosts(spark, pages):
     body = "<body><div class='xa'><p>Top of every page</p><p>Follow us</p></div><div class='xb'><p>{}</p><p>{}</p></div><div class='xc'>Same end</div></body>"
     got = texts(spark, [page(i, body.format(f"story {i}", f"end {i}"), "few.example") for i in range(pages)])
     assert got == {i: f"story {i}\nend {i}" for i in range(pages)}
 
 
+def test_pages_headings_of_an_article_stay(spark):
+    """Section headings that every page of a host has are part of its articles; what no one
+    sees is not."""
+    body = ("<body><div class='q1'><p>Top</p></div><article><h1>Title {0}</h1><h2>Summary</h2><p>about {0}</p><h2>Details</h2><p>more on {0}</p>"
+            "<p>Thanks for reading</p><div class='q2'>buy now</div></article><p style='color:red; DISPLAY : none'>ghost</p></body>")
+    got = texts(spark, [page(i, body.format(f"item {i}"), "shop.example") for i in range(20)])
+    assert got == {i: f"Title item {i}\nSummary\nabout item {i}\nDetails\nmore on item {i}\nThanks for reading" for i in range(20)}
+
+
+def test_pages_without_any_names_are_separated_by_the_tree(spark):
+    """No article, no main, no telling names: with the tree every template block goes and
+    every block of the text stays; without it all templates stay."""
+    body = ("<body><div class='ka'><div class='kb'>Welcome to us</div><ul><li>Home</li><li>News</li></ul></div><div class='kc'><div class='kd'><h1>{0}</h1><h2>Facts</h2>"
+            "<p>{0} one</p><h2>View</h2><p>{0} two</p><p>Source: desk</p></div><div class='ke'><p>Most read</p><p>Sign up</p></div></div><div class='kf'><p>Imprint</p></div></body>")
+    rows = [page(i, body.format(f"story {i}"), f"h{i % 7}.example") for i in range(70)]
+    want = {i: f"story {i}\nFacts\nstory {i} one\nView\nstory {i} two\nSource: desk" for i in range(70)}  # a paragraph among the text's
+    assert texts(spark, rows) == want
+    blind = {r["page_id"]: r["text"] for r in html_text.main_text(shuffled(spark, rows, PAGES), trust=1e15).collect()}
+    assert all("Imprint" in blind[i] and "Home" in blind[i] for i in blind)
+
+
+def brute_tree(rows, trust):
+    """(host, path) -> (importance, best) from the definition: entropies over the pages."""
+    from collections import Counter, defaultdict
+    looks, has, said = defaultdict(Counter), Counter(), defaultdict(Counter)
+    for _, url, body, _ in rows:
+        host = url.split("/")[2]
+        blocks, styles = html_text.parse(body or "")
+        for path, variants in styles.items():
+            has[host, path] += 1
+            looks[host, path].update(variants)
+        for path, text, *_ in set(blocks):
+            said[host, path][text] += 1
+    entropy = lambda c, m: sum(-n / sum(c.values()) * np.log(n / sum(c.values())) for n in c.values()) / np.log(m)
+    out = {}
+    for host, path in sorted(has, key=lambda k: -k[1].count("/")):
+        m, kids = has[host, path], [k for k in out if k[0] == host and k[1].rpartition("/")[0] == path]
+        own = said[host, path]
+        content = None if not own else 1.0 if m == 1 else 1 - min(1.0, np.mean([np.log(n) for n in own.values()]) / np.log(m))
+        below = sum(out[k][0] * has[k] for k in kids) / sum(has[k] for k in kids) if kids else None
+        if below is None and content is not None:
+            imp = content
+        else:
+            inner = content if below is None else below if content is None else (below + content) / 2
+            share = 0.9 ** len(looks[host, path])
+            imp = (1 - share) * (min(1.0, entropy(looks[host, path], m)) if m > 1 else 1.0) + share * (inner or 0.0)
+        sure = 1 - m / (m + trust) * (1 - max(imp, content or 0.0))
+        out[host, path] = (imp, max([sure, *[out[k][1] for k in kids]]))
+    return out
+
+
+def test_pages_importance_equals_brute_force(spark):
+    rng = random.Random(4)
+    part = lambda i, k: rng.choice([f"<p>same {k}</p>", f"<p>one {i} {k}</p>", f"<div class='d{k}x'>mix<p>{rng.randrange(3)}</p></div>", f"<ul><li>{rng.randrange(2)}<li>z</ul>"])
+    rows = [page(i, f"<body><div class='t'>{part(0, 9)}top</div>" + "".join(part(i, k) for k in range(rng.randrange(5))) + "</body>", f"h{i % 3}.example") for i in range(40)]
+    rows += [page(90, "<p>alone<div><p>deep</div>", "one.example"), page(91, None, "none.example")]
+    want = brute_tree(rows, 1)
+    got = {(r["host"], r["path"]): (r["importance"], r["best"]) for r in html_text.style_tree(html_text.parsed_pages(
+        spark.createDataFrame(rows, PAGES).select("page_id", "url", "html"))).collect()}
+    assert got.keys() == want.keys() and len(got) > 20
+    for k in want:
+        assert np.allclose(got[k], want[k], atol=1e-9), (k, got[k], want[k])
+
+
 def test_pages_names_and_articles_are_no_more_than_hints(spark):
     """A named branch that is the page stays, and a card does not stand for the page."""
     story = "<p>the whole long story of the page</p><p>and its end</p>"
