@@ -5,14 +5,17 @@ the first character of every control string is written as an entity, so control
 never occur in them and the escape can be undone exactly.
 
 Windows: running sums of the turns' tokens cut a conversation into turn-aligned spans. A
-span begins where the sum passes a multiple of the stride, which leaves room in the budget
-for the system turn, the repeated history and the longest turn. A window is a span's own
-turns; before them stand the conversation's first system turn and the turns of the span
-before that lie within the last ``history`` tokens. The loss mask covers the assistant
+span begins where the sum passes a multiple of the conversation's stride. The room that its
+system turn and its longest turn leave in the budget is split into the stride and the
+repeated history: ``history`` tokens, or half the room if that is less, so no window of
+turns that fit passes the budget. A window is a span's own turns; before them stand the
+conversation's first system turn and the turns of the span before that lie within the
+history. The loss mask covers the assistant
 texts of the span's own turns only, so every assistant text is a target exactly once.
 
-Tokens are counted as a fourth of the formatted characters, rounded up. A single turn over
-the budget is never cut: it makes a window over the budget (see n_tokens).
+Tokens are counted as a fourth of the formatted characters, rounded up. A turn is never cut:
+one that passes the budget together with the system turn makes a window over it (see
+n_tokens), and the conversation's windows hold one turn each then.
 
 Scale: sums run in blocks of 64 turn numbers and then over the blocks, so a conversation
 that holds a large part of all rows is sorted in many tasks; a window is bounded by the
@@ -57,8 +60,9 @@ def _turns(conversations: DataFrame, conv: str, turn: str, role: str, text: str)
 
 def placed_turns(conversations: DataFrame, budget: int = 2048, history: int = 256, conv: str = "conv_id",
                  turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Every turn with its number (pos), the tokens before it (before) and its span, and
-    number and tokens of the conversation's first system turn (system)."""
+    """Every turn with its number (pos), the tokens before it (before) and its span, number
+    and tokens of the conversation's first system turn (system), and the tokens of history
+    that its windows repeat (kept)."""
     t = _turns(conversations, conv, turn, role, text)
     inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("in_pos", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text"))) \
@@ -73,8 +77,11 @@ def placed_turns(conversations: DataFrame, budget: int = 2048, history: int = 25
     blocks = blocks.withColumn("system", F.first(F.when(F.col("first").isNotNull(), F.struct((F.col("n0") + F.col("first.in_pos")).alias("pos"), "first.tokens")), ignorenulls=True)
                                .over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("first")
     t = t.join(blocks, t["conv_id"].eqNullSafe(blocks["c"]) & (t["block"] == blocks["b"])).withColumn("before", F.col("sum0") + F.col("in_sum") - F.col("tokens"))
-    stride = F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0)) - F.col("longest"))
-    return t.select("conv_id", (F.col("n0") + F.col("in_pos")).alias("pos"), "role", "text", "tokens", "before", "system", F.floor(F.col("before") / stride).alias("span"))
+    room = F.lit(budget) - F.coalesce("system.tokens", F.lit(0)) - F.col("longest")
+    kept = F.greatest(F.lit(0), F.least(F.lit(history), F.floor(room / 2)))
+    stride = F.greatest(F.lit(1), room - kept)
+    return t.select("conv_id", (F.col("n0") + F.col("in_pos")).alias("pos"), "role", "text", "tokens", "before", "system",
+                    kept.alias("kept"), F.floor(F.col("before") / stride).alias("span"))
 
 
 def chat_windows(conversations: DataFrame, budget: int = 2048, history: int = 256, **cols: str) -> DataFrame:
@@ -89,7 +96,7 @@ def chat_windows(conversations: DataFrame, budget: int = 2048, history: int = 25
     part = lambda kind, pos, role, text, tokens: F.struct(F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), role.alias("role"), text.alias("text"), tokens.cast("long").alias("tokens"))
     turn = [F.col(x) for x in ("pos", "role", "text", "tokens")]
     own = here.select("conv_id", "span", part(2, *turn).alias("part"))
-    late = (F.col("end") - F.col("before") <= history) & F.col("next").isNotNull() & ~F.coalesce(F.col("pos") == F.col("system.pos"), F.lit(False))
+    late = (F.col("end") - F.col("before") <= F.col("kept")) & F.col("next").isNotNull() & ~F.coalesce(F.col("pos") == F.col("system.pos"), F.lit(False))
     repeated = here.where(late).select("conv_id", F.col("next").alias("span"), part(1, *turn).alias("part"))
     system = t.where("pos = system.pos").select(F.col("conv_id").alias("owner"), *turn)
     later = spans.where("head < first_pos").select("c", "s")

@@ -1,16 +1,18 @@
 """Line dedup with a segment-partition edit join.
 
-Two lines are near duplicates if they are within ``edits`` edits (insert, delete,
-substitute a code point) after white space is trimmed and collapsed. A line is split into
-``edits + 1`` segments of even length; a line within ``edits`` edits of it must hold one of
+Two lines are near duplicates if, after white space is trimmed and collapsed, they are within
+``edits`` edits (insert, delete, substitute a code point) and the edits are at most a fifth of
+the longer line's code points (a similarity of 0.8 or more). So two edits link lines from 10
+code points on, one edit from 5 on, and shorter lines link to equal ones; every line takes
+part. With t the edits that a length allows, a line is split into
+``t + 1`` segments of even length; a line within ``t`` edits of it must hold one of
 the segments unchanged. Every line goes into an index by (length, segment number, segment
 hash) and probes the indexes of its own and the shorter lengths with the substrings at the
 multi-match-aware start positions. Candidates are verified with a banded bit-parallel edit
 distance. Classes are the connected components of the links; of a class the line that
 comes first by (doc_id, line number) stays.
 
-Lines of fewer than ``min_length`` code points link to equal lines only, and blank lines
-are left alone.
+Blank lines are left alone.
 
 Scale: equal lines are one before the join (two 64-bit hashes; a task emits the keys of a
 line it has just seen once). Texts are fetched for lines with a candidate only. A bucket
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .frames import slim
+from .frames import numbered, slim
 from .winnowing import mixed
 
-EDITS, MIN_LENGTH = 2, 16
+EDITS, SHARE = 2, 5
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)
 
@@ -44,6 +46,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(base))]).astype(np.uint64))
 
 
+def allowed(longer: int, edits: int) -> int:
+    """Edits that link two lines, the longer of so many code points."""
+    return min(edits, longer // SHARE)
+
+
+def linked(a: str, b: str, edits: int = EDITS) -> bool:
+    """Whether two different lines are near duplicates."""
+    return within(a, b, t) if (t := allowed(max(len(a), len(b)), edits)) else False
+
+
 class Substrings:
     """Hashes of any substrings of a batch of lines, by running sums of c * P^place."""
 
@@ -153,15 +165,29 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(kernel, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line int, h long, g long, n_chars long")
 
 
-def keys_of(docs: DataFrame, edits: int, min_length: int) -> DataFrame:
-    """(key, role, h) of every line of ``min_length`` or more code points."""
+def all_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_keys`` for every number of edits, over the lines whose partners allow it: for t
+    edits the longer line of a pair has SHARE * t to SHARE * (t + 1) - 1 code points (no upper
+    bound for the last), the shorter at most t less."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.uint64))]
+    for t in range(1, edits + 1):
+        top = SHARE * (t + 1) - 1 if t < edits else 1 << 62
+        some = [i for i, x in enumerate(lines) if SHARE * t - t <= len(x) <= top]
+        if some:
+            line, role, key = line_keys([lines[i] for i in some], t)
+            out.append((np.array(some)[line], role, key))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+def keys_of(docs: DataFrame, edits: int) -> DataFrame:
+    """(key, role, h) of every line that may have a near duplicate."""
     def kernel(batches):
         seen: set[int] = set()  # of late, so that a line on every page is keyed a few times
         for b in batches:
             lines, ids = [], []
             for text in b.column(0).to_pylist():
                 for x in split_lines(text):
-                    if len(x) >= min_length and (h := _hashes(x)[0]) not in seen:
+                    if len(x) >= SHARE - 1 and (h := _hashes(x)[0]) not in seen:
                         seen.add(h)
                         lines.append(x)
                         ids.append(h)
@@ -173,7 +199,7 @@ def keys_of(docs: DataFrame, edits: int, min_length: int) -> DataFrame:
                 while end < len(lines) and size < 1 << 20:
                     size += len(lines[end])
                     end += 1
-                line, role, key = line_keys(lines[at:end], edits)
+                line, role, key = all_keys(lines[at:end], edits)
                 h = np.array(ids[at:end], np.int64)[line]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role), pa.array(h)], ["key", "role", "h"])
                 at = end
@@ -221,20 +247,20 @@ def _forest(members: list[dict], edits: int) -> list[tuple[int, int]]:
             break
         for j in range(i + 1, len(members)):
             b = members[j]
-            if a["h"] != b["h"] and find(i) != find(j) and within(a["text"], b["text"], edits):
+            if a["h"] != b["h"] and find(i) != find(j) and linked(a["text"], b["text"], edits):
                 root[find(j)] = find(i)
                 out.append((a["h"], b["h"]))
     return out
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH, cap: int = 256) -> DataFrame:
+def line_links(docs: DataFrame, edits: int = EDITS, cap: int = 256) -> DataFrame:
     """(a, b): links between line hashes that span the components of all links."""
     def kernel(batches):
         for b in batches:
             links = [x for m in b.column(0).to_pylist() for x in _forest(m, edits)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
     same = Window.partitionBy("key")
-    keys = keys_of(docs, edits, max(min_length, edits + 1)).repartition("key").groupBy("key", "h").agg(F.min("role").alias("role"))
+    keys = keys_of(docs, edits).repartition("key").groupBy("key", "h").agg(F.min("role").alias("role"))
     keys = keys.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("entry", F.min("role").over(same))
     shared = written(keys.where("n > 1 and entry = 0").select("key", "h", "role", "n"), "buckets")
     texts = written(_texts(docs, shared.select("h").distinct()), "texts")
@@ -246,28 +272,38 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH
     return together.select("members").mapInArrow(kernel, "a long, b long").distinct()
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per line that is not blank: doc_id, line (from 0), class_doc and class_line (the
-    line of its class that stays), class_size (different lines), kept."""
-    d = slim(docs, id_col, text_col)
-    lines = written(lines_of(d), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
+def _classed(d: DataFrame, edits: int, order: DataFrame | None = None) -> DataFrame:
+    """(doc_id, line, best, size) per line of ``d`` (doc_id, text); best: the place of the
+    line that stays. ``order``: (doc_id, own_id), if lines are ordered by another id."""
+    lines = lines_of(d) if order is None else lines_of(d).join(order, "doc_id")
+    own = F.col("doc_id") if order is None else F.col("own_id")
+    place = F.struct(own.isNull().alias("none"), own.alias("own"), "line", "doc_id")
+    lines = written(lines, "lines")
     firsts = written(lines.groupBy("h", "g").agg(F.min(place).alias("place")), "firsts")
-    roots = written(components(line_links(d, edits, min_length)), "roots")
+    roots = written(components(line_links(d, edits)), "roots")
     firsts = written(firsts.join(roots, firsts["h"] == roots["node"], "left").select("h", "g", "place", "root"), "rooted")
-    linked, alone = firsts.where("root is not null"), firsts.where("root is null")  # most lines are alone
-    best = written(linked.groupBy("root").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("size")), "best")
-    of = linked.join(best, "root").select("h", "g", "best", "size").union(alone.select("h", "g", "place", F.lit(1).cast("long")))
-    of = written(of, "classes")
-    return lines.join(of, ["h", "g"]).select(
+    together, alone = firsts.where("root is not null"), firsts.where("root is null")  # most lines are alone
+    best = written(together.groupBy("root").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("size")), "best")
+    of = together.join(best, "root").select("h", "g", "best", "size").union(alone.select("h", "g", "place", F.lit(1).cast("long")))
+    return lines.join(written(of, "classes"), ["h", "g"]).select("doc_id", "line", "best", "size")
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per line that is not blank: doc_id, line (from 0), class_doc and class_line (the
+    line of its class that stays), class_size (different lines), kept."""
+    return _classed(slim(docs, id_col, text_col), edits).select(
         "doc_id", "line", F.col("best.doc_id").alias("class_doc"), F.col("best.line").alias("class_line"), F.col("size").alias("class_size"),
         (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("line") == F.col("best.line"))).alias("kept"))
 
 
-def drop_lines(docs: DataFrame, edits: int = EDITS, min_length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that do not stay cut out of their texts, all columns."""
-    gone = line_classes(docs, edits, min_length, id_col, text_col).where("not kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
-    both = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["gone_id"]), "left")
-    text = F.col(f"`{text_col}`")
+def drop_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the lines that do not stay cut out of their texts, all columns. Every row
+    has its own lines, also if rows share an id."""
+    rows, row = numbered(docs)
+    order = rows.select(F.col(row).alias("doc_id"), F.col(f"`{id_col}`").alias("own_id"))
+    stays = (F.col("best.doc_id") == F.col("doc_id")) & (F.col("best.line") == F.col("line"))
+    gone = _classed(slim(rows, row, text_col), edits, order).where(~stays).groupBy(F.col("doc_id").alias("gone_row")).agg(F.collect_set("line").alias("gone_lines"))
+    both = rows.join(gone, rows[row] == gone["gone_row"], "left")
+    text = rows[f"`{text_col}`"]
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone["gone_lines"], i)), "\n")
-    return both.select(*[F.when(gone["gone_lines"].isNull(), text).otherwise(left).alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns])
+    return both.select(*[F.when(gone["gone_lines"].isNull(), text).otherwise(left).alias(c) if c == text_col else rows[f"`{c}`"] for c in docs.columns])

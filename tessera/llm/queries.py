@@ -112,13 +112,14 @@ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRS
              max(tok) OVER (PARTITION BY conv_id) AS longest FROM k),
 first AS (SELECT conv_id, min(pos) AS spos FROM o WHERE role = 'system' GROUP BY conv_id),
 head AS (SELECT o.conv_id, o.pos AS spos, o.tok AS stok, o.size AS ssize FROM o JOIN first ON o.conv_id = first.conv_id AND o.pos = first.spos),
-s AS (SELECT o.*, head.spos, head.ssize, floor(o.before / greatest(512, 1792 - coalesce(head.stok, 0) - o.longest)) AS span
-      FROM o LEFT JOIN head ON o.conv_id = head.conv_id),
+room AS (SELECT o.*, head.spos, head.ssize, 2048 - coalesce(head.stok, 0) - o.longest AS room FROM o LEFT JOIN head ON o.conv_id = head.conv_id),
+kept AS (SELECT *, greatest(0, least(256, floor(room / 2.0))) AS keep FROM room),
+s AS (SELECT *, floor(before / greatest(1, room - keep)) AS span FROM kept),
 ends AS (SELECT conv_id, span, max(before + tok) AS fin, min(pos) AS fp, max(spos) AS spos, max(ssize) AS ssize FROM s GROUP BY conv_id, span),
 follow AS (SELECT *, lead(span) OVER (PARTITION BY conv_id ORDER BY span) AS nxt FROM ends),
 body AS (SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(s.role || chr(10) || s.text || chr(10), '' ORDER BY s.pos)) AS turns_sha256,
                 coalesce(string_agg(CASE WHEN s.role = 'assistant' THEN s.text END, '' ORDER BY s.pos), '') AS loss,
-                sum(s.size) + sum(CASE WHEN f.fin - s.before <= 256 AND f.nxt IS NOT NULL AND s.pos IS DISTINCT FROM s.spos THEN s.size ELSE 0 END) AS chars
+                sum(s.size) + sum(CASE WHEN f.fin - s.before <= s.keep AND f.nxt IS NOT NULL AND s.pos IS DISTINCT FROM s.spos THEN s.size ELSE 0 END) AS chars
          FROM s JOIN follow f ON s.conv_id = f.conv_id AND s.span = f.span GROUP BY s.conv_id),
 heads AS (SELECT conv_id, sum(CASE WHEN spos < fp THEN ssize ELSE 0 END) AS chars FROM follow GROUP BY conv_id)
 SELECT body.conv_id, body.n_turns, body.turns_sha256, CAST(length(body.loss) AS BIGINT) AS loss_chars, sha256(body.loss) AS loss_sha256,

@@ -244,7 +244,9 @@ def line_corpus():
     hot = base[0]
     docs = [(i, "\n".join([hot, base[i], edited(rng, base[(i + 3) % 30], 2), "short", " ", base[(i + 7) % 30].replace(" ", "   ")])) for i in range(30)]
     docs += [(50, None), (51, ""), (52, "\n\n"), (53, edited(rng, hot, 1)), (None, hot), (53, "again\nagain"), (54, "long " * 20000)]
-    return docs
+    short = ["Read more >>", "Read more >", "Read more", "abc", "abd", "abcd", "abcde", "abcdf", "1", "2", "12", "10 items", "11 items", "page 10 of 99", "page 12 of 99"]
+    short += ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 16))) for _ in range(150)]
+    return docs + [(60 + i, x) for i, x in enumerate(short)]
 
 
 @pytest.mark.parametrize("cap", [256, 3])
@@ -253,7 +255,7 @@ def test_line_classes_match_brute_force(spark, cap, monkeypatch):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, line int").repartition(4)
     if cap != 256:
         plain = line_dedup.line_links
-        monkeypatch.setattr(line_dedup, "line_links", lambda d, e, m: plain(d, e, m, cap))
+        monkeypatch.setattr(line_dedup, "line_links", lambda d, e: plain(d, e, cap))
     got = sorted((tuple(r) for r in line_dedup.line_classes(df).collect()), key=str)
     first, every = {}, []
     for i, t in rows:
@@ -262,9 +264,9 @@ def test_line_classes_match_brute_force(spark, cap, monkeypatch):
                 every.append((i, k, x))
                 place = (i is None, i if i is not None else -1, k)
                 first[x] = min(first.get(x, place), place)
-    long = [x for x in first if len(x) >= line_dedup.MIN_LENGTH]
-    root = union(list(first), [])
-    links = [(a, b) for n, a in enumerate(long) for b in long[:n] if abs(len(a) - len(b)) <= 2 and len(a) < 1000 and distance(a, b) <= 2]
+    some = [x for x in first if len(x) < 1000]
+    near = lambda a, b: distance(a, b) <= min(2, max(len(a), len(b)) // 5)
+    links = [(a, b) for n, a in enumerate(some) for b in some[:n] if abs(len(a) - len(b)) <= 2 and near(a, b)]
     root = union(list(first), links)
     best, size = {}, {}
     for x, r in root.items():
@@ -283,5 +285,9 @@ def test_drop_lines_and_empty(spark):
                                "doc_id long, text string, gone_lines int")
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df).collect()}
     assert got == {1: "the very same long line here\nonly in one of the documents", 2: "x", 3: None}
+    twins = spark.createDataFrame([(5, "first row's own line\nshared by both rows"), (5, "shared by both rows\nthe other row's line"), (None, "shared by both rows")], "doc_id long, text string")
+    assert sorted(r["text"] for r in line_dedup.drop_lines(twins).collect()) in (
+        ["", "first row's own line", "shared by both rows\nthe other row's line"], ["", "first row's own line\nshared by both rows", "the other row's line"])
     none = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.line_classes(none).count() == 0
+    assert len({r["class_line"] for r in line_dedup.line_classes(spark.createDataFrame([(1, "Read more >>\nRead more >\nRead more")], "doc_id long, text string")).collect()}) == 1

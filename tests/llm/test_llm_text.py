@@ -244,6 +244,20 @@ def expected_conversation(rows):
     return out
 
 
+def test_chat_windows_keep_the_budget_beside_long_turns(spark):
+    """System turns of about 305 tokens and one turn of 1,305: no window passes the budget."""
+    rows = []
+    for c in range(29):
+        rows.append((c, 0, "system", "s" * 1200))
+        rows += [(c, 1 + t, ["user", "assistant"][t % 2], "x" * (5200 if t == c % 20 else 40 * (c + t))) for t in range(30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    w = chat.chat_windows(df).select("conv_id", "n_tokens", "n_turns", "n_context").collect()
+    assert max(r["n_tokens"] for r in w) <= 2048 and sum(r["n_turns"] for r in w) == len(rows)
+    over = spark.createDataFrame([(1, 0, "system", "s" * 5000), (1, 1, "user", "u" * 5000), (1, 2, "assistant", "a"), (1, 3, "user", "b")], df.schema)
+    got = chat.chat_windows(over).orderBy("first_pos").collect()  # a turn that fits beside no system turn
+    assert [r["n_turns"] for r in got] == [1, 1, 1, 1]
+
+
 def test_chat_round_trip_and_budget(spark):
     rows = conversations()
     df = shuffled(spark, [(*r, 9) for r in rows], CONV)
