@@ -7,7 +7,8 @@ def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     own = {k for k in q if not re.match(r"op\d+_|pipeline$", k)}  # the optional subpackage checks its own
-    assert own == own & set(o)
+    learned = {"forest_predictions", "forest_drivers"}  # a model's values: compared with second evaluations in the model tests
+    assert own - learned == own & set(o)
 
 
 def test_entry_smoke(spark):
