@@ -20,6 +20,7 @@ from .metrics import regression_metrics
 from .profile import completeness
 from .schema import quoted
 
+# Statuses and columns of the submission table
 STATUSES = ["pending", "approved", "rejected"]
 
 SUBMISSION_SCHEMA = T.StructType([

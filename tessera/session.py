@@ -1,8 +1,10 @@
 """Session helpers: one place for the settings every job in the package relies on."""
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -146,7 +148,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_tessera_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="tessera-py-"), "tessera.zip")
+    served = tempfile.mkdtemp(prefix="tessera-py-")  # the driver serves it until it ends
+    atexit.register(shutil.rmtree, served, ignore_errors=True)
+    archive = os.path.join(served, "tessera.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for folder, _, names in os.walk(here):
             for name in sorted(names):
