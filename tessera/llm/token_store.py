@@ -63,7 +63,7 @@ def sample_ids(docs: DataFrame, tokenizer: str | None, width: int, sample_docs:
 
     def kernel(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([serialized(encoder(tokenizer).encode(t) + end, width)[:most] for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([serialized(raw + end, width)[:most] for raw in encoder(tokenizer).encode_all(b.column(0).to_pylist())], pa.binary())], ["ids"])
     h = F.xxhash64("doc_id", "text")
     limit = docs.select(h.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]  # hashes alone are sorted
     chosen = docs.where(h <= F.lit(limit)).select("text").limit(sample_docs)
@@ -77,9 +77,9 @@ def frames(docs: DataFrame, tokenizer: str | None, width: int, dictionary: bytes
     def kernel(batches):
         import zstandard
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_all
         for b in (part for whole in batches for part in slices(whole, 1)):
-            raws = [encode(t) + end for t in b.column(1).to_pylist()]
+            raws = [raw + end for raw in encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) // 4 for r in raws], pa.int64()),
                                               pa.array([press.compress(serialized(r, width)) for r in raws], pa.binary())], ["doc_id", "n_tokens", "frame"])
     return docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {kind}, n_tokens long, frame binary")

@@ -305,6 +305,32 @@ def test_word_encoder_cuts_very_long_texts(monkeypatch):
     assert [*np.frombuffer(enc.encode(text), "<u4").tolist(), 0] == reference_ids([text])[0]
 
 
+def test_word_encoder_asks_the_cache_once_a_word_of_a_block():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeréñthçÉŐ") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    ends = [" ", " ", "\n", ", ", ". ", "., ", "7. ", "'s, ", "? ", "日. ", "ʔ, ", " .", "!\n", "\n\n"]
+    texts = ["".join(rng.choice(words) + rng.choice(ends[:13] if n % 5 else ends) for _ in range(n)).strip() for n in range(120)]
+    enc, asked, whole = tokens.WordEncoder(tokens.tokenizer_path()), [], []
+    cached, ids = enc._cached, enc._ids
+    enc._cached = lambda keys: asked.append(keys) or cached(keys)
+    enc._ids = lambda texts: whole.append(texts) or ids(texts)
+    got = enc.encode_all(texts)
+    assert [[*np.frombuffer(raw, "<u4").tolist(), 0] for raw in got] == reference_ids(texts)
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+    assert "\t," in asked[0] and not any(k.endswith("r,") for k in asked[0]) and len(whole) < 30
+    asked.clear()
+    assert enc.encode_all([*texts[:9], "", "<|endoftext|> a"])[:9] == got[:9] and len(asked) == 1
+
+
+def test_word_encoder_goes_on_after_a_cut(monkeypatch):
+    monkeypatch.setattr(tokens, "_BLOCK", 40)
+    enc, whole = tokens.WordEncoder(tokens.tokenizer_path()), []
+    text, ids = " ".join(f"word{i}, and\nmore" for i in range(60)), enc._ids
+    enc._ids = lambda texts: whole.append(texts) or ids(texts)
+    assert [*np.frombuffer(enc.encode(text), "<u4").tolist(), 0] == reference_ids([text])[0]
+    assert not whole  # no part goes to the library as a whole
+
+
 def token_docs():
     rng = random.Random(3)
     say = lambda n: " ".join(rng.choice(["the", "of", "ünder", "123", "\n", "?!"]) for _ in range(n))
