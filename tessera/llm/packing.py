@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .frames import slim
+from .frames import slices, slim
 from .tokens import END_ID, encoder
 
 CAPACITY = 2048
@@ -137,10 +137,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     is its rank among the pieces of its length that the same task wrote."""
     def kernel(batches):
         enc, end, seen = encoder(tokenizer), np.uint32(END_ID).tobytes(), {}
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             rows = []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                raw = enc.encode(text) + end
+            for i, raw in enumerate(enc.encode_all(b.column(1).to_pylist())):
+                raw += end
                 n = len(raw) // 4
                 at, size = 0, (n - 1) % capacity + 1
                 for piece in range((n + capacity - 1) // capacity):
